@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, for registration."""
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_mixing": mixing.op2_mixing,
 }
 
 ORACLE_SQL = {
