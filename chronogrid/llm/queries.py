@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, for registration."""
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, near_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op5_minhash": near_dedup.op5_minhash,
 }
 
 ORACLE_SQL = {

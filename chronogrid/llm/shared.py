@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bits of the map that keeps documents without candidates out of a shuffle.
+FILTER_BITS = 1 << 23
 _own_root: list[str] = []
 
 
@@ -79,8 +82,31 @@ def plain_blanks(text: Column | str) -> Column:
     return out
 
 
+def id_filter(ids: DataFrame) -> Column:
+    """A predicate on doc_id that holds for all of ``ids`` (a bitmap of fixed
+    size; what else passes costs only speed)."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = (
+        ids.select((F.shiftright(bit, 6)).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))").alias("m"))
+        .groupBy("i")
+        .agg(F.bit_or("m").alias("m"))
+        .collect()
+    )  # FILTER_BITS / 64 rows at most
+    table = [0] * (FILTER_BITS // 64)
+    for i, m in words:
+        table[i] = m
+    lit = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    return F.call_function("getbit", F.get(lit, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+
+
 def need_columns(df: DataFrame, *names: str) -> None:
     """Fail early, with names, when an input lacks a column."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get: documents can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
