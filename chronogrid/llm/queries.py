@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, for registration."""
 
-from . import line_dedup, mixing, near_dedup
+from . import bpe, line_dedup, mixing, near_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op4_bpe": bpe.op4_bpe,
     "op5_minhash": near_dedup.op5_minhash,
 }
 
