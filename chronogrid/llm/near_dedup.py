@@ -51,16 +51,21 @@ def far(percent: int) -> int:
     return int(near(mid) + SLACK * np.hypot(spread, chance))
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    bits = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and odd sketch of a nonempty set, as int64 arrays."""
+    """Band hashes, and the odd sketches of the samples and of the set itself, of
+    a nonempty set, as int64 arrays."""
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 512):
         np.minimum(low, (s[i : i + 512, None] * _MULT).min(axis=0), out=low)
     mixed = scramble(low + _SALT)
     bands = mixed[: ROWS * BANDS].reshape(BANDS, ROWS)
     keys = scramble((bands * _MULT[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-    odd = np.packbits((np.bincount((mixed % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
-    return keys.view(np.int64), odd.view(np.int64)
+    return keys.view(np.int64), np.concatenate((_parity(mixed), _parity(s)))
 
 
 _SKETCH = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, odd array<bigint>"
@@ -94,13 +99,28 @@ def _full_sets(width: int):
     return run
 
 
+def _near(percent: int) -> str:
+    """SQL: may the sets of x and y be similar enough, by sizes and sketches?
+
+    The distance of the sets' own parity bitmaps never exceeds their symmetric
+    difference, so that part drops no link at all.
+    """
+    longs = BITS // 64
+    apart = lambda at: "+".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(at, at + longs))
+    both = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    return (
+        f"{percent} * x.n <= 100 * y.n and {percent} * y.n <= 100 * x.n"
+        f" and {apart(longs)} <= x.n + y.n - 2 * {both} and {apart(0)} <= {far(percent)}"
+    )
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs u, v whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = docs.where(id_filter(ids)).join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id bigint, set array<bigint>").dropDuplicates(["id"])
+    sets = docs.where(id_filter(ids)).join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id bigint, set array<bigint>")
     a, b = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
     both = pairs.select("u", "v").join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("a", "b")))
-    return both.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("u", "v")
+    return both.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("u", "v").distinct()
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -118,13 +138,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     all_rows = cut(docs.mapInArrow(_sketches(width), _SKETCH), "near-sketches")
     some = all_rows.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "near-classes")
-    heads = some.join(classes.select("n", "s1", "s2", F.col("id").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
+    heads = some.join(classes.select("n", "s1", "s2", F.col("id").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi")
     entries = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("key"))
     ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     entries = cut(entries.join(ends, "key"), "near-buckets")
     facts = heads.select(F.col("doc_id").alias("id"), "n", "odd")
-    apart = "+".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(BITS // 64))
-    near = f"{percent} * x.n <= 100 * y.n and {percent} * y.n <= 100 * x.n and {apart} <= {far(percent)}"
+    near = _near(percent)
     star = entries.select(F.col("id").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").distinct()
     x, y = (facts.select(F.col("id").alias(k), F.col("n"), F.col("odd")).alias(t) for k, t in (("u", "x"), ("v", "y")))
     star = cut(star.join(y, "v").select("u", "v", F.struct("n", "odd").alias("y")).join(x.select("u", F.struct("n", "odd").alias("x")), "u").where(near).select("u", "v"), "near-star")
