@@ -244,12 +244,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode at once."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if wanted: encode
+    and decode at once."""
     need_columns(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
     spec = _broadcast(docs.sparkSession, path)
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
     def sha(pieces: Iterator[bytes]) -> str:
         h = hashlib.sha256()
         for p in pieces:
@@ -259,15 +263,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         t = _tokenizer(spec)
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, all_ids = [], [], [], []
             for x in b.column(1):
                 ids = t.encode(x.as_py())
                 n.append(len(ids))
+                all_ids.append(ids.view(np.int32) if with_ids else None)
                 a.append(sha(t.digits.pieces(ids)))
                 d.append(sha(t.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
 def vocabulary(name: str) -> str:
