@@ -1 +1 @@
-
+"""Operators on series tables, observations, predictions and grids."""

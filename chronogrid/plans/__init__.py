@@ -1 +1 @@
-
+"""Composed plans, the query registry, and the SQL that checks it."""
