@@ -17,10 +17,12 @@ number; any fixed order of words gives exact results, so that a shared bucket
 costs only speed.  Word identity is 56 bits of xxhash64 next to that bucket's
 level.
 
-Skew: a line needs one earlier partner, not all.  In each group of lines that
-share a prefix word the first lines are tried first; only lines of large groups
-that found no partner go on to the rest of their groups, in widening rounds.
-So a family of n copies costs a multiple of n, and no partner is left out.
+Skew: lines with equal word sets are one.  A semi-join first finds the sets that
+have any candidate; only those are compared.  A line needs one earlier partner,
+not all: in each group that shares a prefix word the first lines are tried
+first, and only lines of large groups that found no partner go on to the rest of
+their groups, in widening rounds.  So a family of n similar lines does not make
+n**2 rows, and no partner is left out.
 
 Everything is DataFrame expressions; no Python runs on executors.
 """
@@ -33,18 +35,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, discard, need_columns, plain_blanks
+from .shared import cut, discard, id_filter, need_columns, plain_blanks
 
 #: Similarity, in percent, from which a later line goes.
 PERCENT = 80
 #: Hash buckets of the word-frequency table: its size never grows.
-BUCKETS = 65536
+BUCKETS = 1 << 16
 #: Lines of a group that every other line of it is compared with at once.
 LEADERS = 8
 #: Ends of the rounds, as positions in a group, for lines that found no partner.
 ROUNDS = (8, 64, 512, 4096, None)
-#: Words of the bitmap that keeps documents without candidates out of a shuffle.
-FILTER_BITS = 1 << 23
 
 
 def _words(line: str) -> Column:
@@ -52,10 +52,10 @@ def _words(line: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), words."""
+    """doc_id, line_no (from 0), words, of the lines that have words."""
     return docs.select(
         "doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")
-    ).select("doc_id", "line_no", _words("line").alias("w"))
+    ).where("trim(line) <> ''").select("doc_id", "line_no", _words("line").alias("w"))
 
 
 def _levels(docs: DataFrame) -> Column:
@@ -74,15 +74,14 @@ def _levels(docs: DataFrame) -> Column:
 
 
 def _with_keys(lines: DataFrame, levels: Column) -> DataFrame:
-    """Adds k: the words' keys, rare words first, each once; drops empty lines."""
+    """Adds k: the words' keys, rare words first, each once."""
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
         level = F.coalesce(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    keyed = lines.withColumn("k", F.sort_array(F.array_distinct(F.transform("w", key)))).drop("w")
-    return keyed.where(F.size("k") > 0)
+    return lines.withColumn("k", F.sort_array(F.array_distinct(F.transform("w", key)))).drop("w")
 
 
 def _postings(keyed: DataFrame, percent: int) -> DataFrame:
@@ -98,7 +97,7 @@ def _postings(keyed: DataFrame, percent: int) -> DataFrame:
         keyed.withColumn("n", F.size("k"))
         .withColumns(
             {
-                "bits": F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"),
+                "bits": F.expr("coalesce(aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int))), 0L)"),
                 "sig": F.xxhash64("k"),
             }
         )
@@ -127,7 +126,7 @@ def _before(y: str, x: str) -> str:
     return f"({y}.doc_id < {x}.doc_id or ({y}.doc_id = {x}.doc_id and {y}.line_no < {x}.line_no))"
 
 
-_PAIR = "named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', {y}.doc_id, 'yl', {y}.line_no, 'same', x.sig = {y}.sig and x.n = {y}.n and x.bits = {y}.bits)"
+_PAIR = "named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y.doc_id, 'yl', y.line_no) as p"
 
 
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
@@ -136,7 +135,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
     group = Window.partitionBy("token")
     order = group.orderBy("doc_id", "line_no")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row = F.struct("doc_id", "line_no", "n", "pos", "bits", "sig")
+    row = F.struct("doc_id", "line_no", "n", "pos", "bits")
     met = postings.select(
         "token",
         row.alias("x"),
@@ -147,49 +146,55 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
     pairs = [
         F.expr(
             f"if(at > {i + 1} and {_before(f'y{i}', 'x')} and {_near('x', f'y{i}', percent)}, "
-            f"named_struct('p', {_PAIR.format(y=f'y{i}')}, 'h', cast(null as struct<at: int, token: bigint>)), null)"
+            f"named_struct('p', named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y{i}.doc_id, 'yl', y{i}.line_no, 'far', bit_count(x.bits ^ y{i}.bits)), 'h', cast(null as struct<at: int, token: bigint>)), null)"
         )
         for i in range(LEADERS)
     ]
     hot = F.expr(
-        f"if(many > {LEADERS}, named_struct('p', cast(null as struct<xd: bigint, xl: int, yd: bigint, yl: int, same: boolean>), "
+        f"if(many > {LEADERS}, named_struct('p', cast(null as struct<xd: bigint, xl: int, yd: bigint, yl: int, far: int>), "
         "'h', named_struct('at', at, 'token', token)), null)"
     )
     return met.select("x", F.explode(F.array_compact(F.array(*pairs, hot))).alias("r")).select(
-        "r.p", F.expr("if(r.h is null, null, named_struct('at', r.h.at, 'token', r.h.token, 'doc_id', x.doc_id, 'line_no', x.line_no, 'n', x.n, 'pos', x.pos, 'bits', x.bits, 'sig', x.sig))").alias("h")
+        "r.p", F.expr("if(r.h is null, null, named_struct('at', r.h.at, 'token', r.h.token, 'doc_id', x.doc_id, 'line_no', x.line_no, 'n', x.n, 'pos', x.pos, 'bits', x.bits))").alias("h")
     )
 
 
-def _id_filter(ids: DataFrame) -> Column:
-    """A predicate on doc_id that holds for all of ``ids`` (a bitmap of fixed
-    size; what else passes costs only speed)."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = (
-        ids.select((F.shiftright(bit, 6)).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))").alias("m"))
-        .groupBy("i")
-        .agg(F.bit_or("m").alias("m"))
-        .collect()
-    )  # FILTER_BITS / 64 rows at most
-    table = [0] * (FILTER_BITS // 64)
-    for i, m in words:
-        table[i] = m
-    lit = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    return F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})").isNotNull() & (
-        F.call_function("getbit", F.get(lit, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+def _involved(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of all lines: doc_id, line_no of those that repeat an earlier line's word
+    set; doc_id, sig of one line for each set that another set may be similar to.
+
+    Both come from one shuffle of the postings by word.  The second is a
+    semi-join: however large a family of similar lines is, each of its sets
+    makes one row for each prefix word at most.
+    """
+    # All three uses need all columns, and no filter slips below the shuffle, so
+    # that Spark runs it once.
+    dealt = postings.repartition("token")
+    again = (
+        dealt.where("pos + cast(rand() * 0 as int) = 0")
+        .withColumn("at", F.row_number().over(Window.partitionBy("token", "sig", "n", "bits").orderBy("doc_id", "line_no")))
+        .where("at > 1")
     )
+    sets = dealt.groupBy("token", "sig", "n", "pos", "bits").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
+    x, y = sets.alias("x"), sets.alias("y")
+    near = x.join(y, F.expr(f"x.token = y.token and x.sig <> y.sig and {_near('x', 'y', percent)} and (y.line_no >= 0 or y.doc_id is null)"), "left_semi")
+    rows = again.select("doc_id", "line_no", F.lit(None).cast("long").alias("sig")).union(near.select("doc_id", "line_no", "sig"))
+    rows = cut(rows, "lines-involved")
+    return rows.where("sig is null").select("doc_id", "line_no"), rows.where("sig is not null").select("doc_id", "sig").distinct()
+
+
+def _fetch(docs: DataFrame, levels: Column, wanted: DataFrame) -> DataFrame:
+    """doc_id, line_no, k, sig: the first line of each wanted set, with its words."""
+    sigs = wanted.groupBy("doc_id").agg(F.collect_set("sig").alias("sigs"))
+    near = docs.where(id_filter(sigs)).join(sigs.hint("shuffle_hash"), "doc_id")
+    lines = near.select("doc_id", "sigs", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    keyed = _with_keys(lines.select("doc_id", "sigs", "line_no", _words("line").alias("w")), levels).withColumn("sig", F.xxhash64("k"))
+    found = keyed.where(F.array_contains("sigs", F.col("sig"))).drop("sigs")
+    return found.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy("line_no"))).where("at = 1").drop("at")
 
 
-def _verify(docs: DataFrame, levels: Column, pairs: DataFrame, percent: int) -> DataFrame:
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """xd, xl of the pairs whose whole word sets are similar enough."""
-    ends = pairs.select(F.explode(F.array(F.expr("struct(xd as doc_id, xl as line_no)"), F.expr("struct(yd as doc_id, yl as line_no)"))).alias("e"))
-    lines = ends.select("e.*").groupBy("doc_id").agg(F.collect_set("line_no").alias("ls"))
-    wanted = docs.where(_id_filter(lines)).join(lines.hint("shuffle_hash"), "doc_id")
-    sets = _with_keys(
-        wanted.select("doc_id", "ls", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line"))
-        .where(F.array_contains("ls", F.col("line_no")))
-        .select("doc_id", "line_no", _words("line").alias("w")),
-        levels,
-    )
     a = sets.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("k").alias("xk"))
     b = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yl"), F.col("k").alias("yk"))
     both = pairs.join(b, ["yd", "yl"]).join(a, ["xd", "xl"]).withColumn("i", F.size(F.array_intersect("xk", "yk")))
@@ -201,31 +206,31 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     need_columns(docs, "doc_id", "text")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text").where("text is not null")
     levels = _levels(docs)
-    met = cut(_meet(_postings(_with_keys(_lines(docs), levels), percent), percent), "lines-met")
-    discard(met.limit(0))
-    pairs = met.where("p is not null").select("p.*")
-    same = pairs.where("same").select("xd", "xl").distinct()
-    gone = cut(same, "lines-same")
-    open_pairs = cut(pairs.where("not same").distinct().join(gone, ["xd", "xl"], "left_anti"), "lines-open")
-    found = [gone]
-    if not open_pairs.isEmpty():
-        found.append(cut(_verify(docs, levels, open_pairs, percent), "lines-near"))
-    discard(open_pairs)
+    same, near = _involved(_postings(_with_keys(_lines(docs), levels), percent), percent)
+    discard(near.limit(0))
+    sets = cut(_fetch(docs, levels, near), "lines-sets")
+    met = cut(_meet(_postings(sets.drop("sig"), percent), percent), "lines-met")
+    tried = met.where("p is not null").select("p.*")
+    # the likeliest partner of each line first; the others only where it fails
+    likely = tried.groupBy("xd", "xl").agg(F.min(F.struct("far", "yd", "yl")).alias("m")).select("xd", "xl", "m.yd", "m.yl")
+    found = [cut(_verify(sets, likely, percent), "lines-near")]
+    discard(found[0].limit(0))
+    others = tried.join(found[0], ["xd", "xl"], "left_anti").select("xd", "xl", "yd", "yl").distinct().exceptAll(likely)
+    found.append(cut(_verify(sets, others, percent), "lines-near"))
+    discard(found[0].limit(0))
     hot = met.where("h is not null").select("h.*")
     for low, high in zip(ROUNDS, ROUNDS[1:]):
+        if hot.where(f"at > {low}").isEmpty():
+            break
         settled = _all(found)
         x = hot.where(f"at > {low + 1}").join(settled, (F.col("doc_id") == F.col("xd")) & (F.col("line_no") == F.col("xl")), "left_anti")
         y = hot.where(f"at > {low}" + (f" and at <= {high}" if high else ""))
         on = f"x.token = y.token and y.at < x.at and {_before('y', 'x')} and {_near('x', 'y', percent)}"
-        more = cut(x.alias("x").join(y.alias("y"), F.expr(on)).select(F.expr(_PAIR.format(y="y")).alias("p")).select("p.*").distinct(), "lines-more")
-        if not more.isEmpty():
-            same = more.where("same").select("xd", "xl").distinct()
-            found.append(cut(same.union(_verify(docs, levels, more.where("not same"), percent)).distinct(), "lines-near"))
-        discard(more)
-        if hot.where(f"at > {high or 0}").isEmpty() or not high:
-            break
-    out = cut(_all(found).distinct().select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")), "lines-removed")
-    discard(met, *found)
+        more = x.alias("x").join(y.alias("y"), F.expr(on)).select(F.expr(_PAIR)).select("p.*").distinct()
+        found.append(cut(_verify(sets, more, percent), "lines-near"))
+    gone = _all(found).select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no"))
+    out = cut(same.union(gone).distinct(), "lines-removed")
+    discard(met, sets, *found)
     return out
 
 

@@ -6,6 +6,7 @@ import atexit
 import gc
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,9 +70,10 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         if getattr(t, "_scratch", None):
             drop(t.sparkSession, t._scratch)
-    if tables:
+    for _ in range(3 if tables else 0):  # the plans go first, then what they held
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
+        time.sleep(0.8)
 
 
 def plain_blanks(text: Column | str) -> Column:
