@@ -33,12 +33,16 @@ from .vectors import best, matrix, top, usable
 #: Vectors that k-means is fitted on, at most about; its rounds.
 SAMPLE, ROUNDS = 20_000, 8
 #: One list for so many vectors; lists at most.
-PER_LIST, MOST_LISTS = 500, 16384
+PER_LIST, MOST_LISTS = 2000, 16384
 #: A query probes so many lists that a sample of at most TRIALS queries finds this
 #: share of its true neighbours; its lists hold LEAST candidates, if there are.
 TARGET, TRIALS, LEAST = 0.98, 96, 1500
 #: Vectors of a part of a list.
 PART = 4096
+#: One vector in so many sets a query's first bound.
+FIRST = 8
+#: Rows that are tested together.
+GROUP = 2048
 #: Columns of a block; confidence of the test.
 BLOCK, EPSILON = 16, 2.1
 #: Share of rows that ask: every vec_id divisible by this.
@@ -68,20 +72,18 @@ def assign(x: np.ndarray, c: np.ndarray, probes: int = 1) -> np.ndarray:
     return out
 
 
-def scan(query: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """The rows that may be among the k nearest, by adaptive dimension scan.
+def scan(query: np.ndarray, rows: np.ndarray, k: int, bound: float) -> np.ndarray:
+    """The rows that may be among the k nearest and within ``bound`` (a squared
+    distance), by adaptive dimension scan.
 
-    The k first rows are measured in full and set the bound; the others come in
-    groups, each read block by block and tested after each.
+    Rows come in groups, each read block by block and tested after each; the k
+    best so far tighten the bound for the next group.
     """
     dims = rows.shape[1]
-    if len(rows) <= k:
-        return np.arange(len(rows))
-    dist = ((rows[:k] - query) ** 2).sum(axis=1)
-    near = np.sort(dist)
-    kept = [np.arange(k)]
-    for start in range(k, len(rows), 512):
-        alive = np.arange(start, min(start + 512, len(rows)))
+    near = np.full(k, bound)
+    kept = [np.zeros(0, np.int64)]
+    for start in range(0, len(rows), GROUP):
+        alive = np.arange(start, min(start + GROUP, len(rows)))
         part = np.zeros(len(alive))
         for d in range(0, dims, BLOCK):
             block = rows[alive, d : d + BLOCK] - query[d : d + BLOCK]
@@ -182,6 +184,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dealt = placed.join(F.broadcast(count), "list", "left").select("list", F.pmod(F.xxhash64("vec_id"), F.coalesce("n", F.lit(1))).alias("part"), "vec_id", "v")
     asked = asking.mapInArrow(probe, "query_id bigint, q array<double>, list bigint, part bigint")
 
+    kind = "query_id bigint, vec_id bigint, score double"
+
     def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
         x, ids = matrix(left["v"]), left["vec_id"].to_numpy()
         q, who = matrix(right["q"]), right["query_id"].to_numpy()
@@ -190,18 +194,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             x, ids = x[order], ids[order]
             turned, asks = lifted(x, True), lifted(q, False)
+            least = right["least"].to_numpy()
             for i in range(len(who)):
-                near = scan(asks[i], turned, k + 1)
+                low = -np.inf if np.isnan(least[i]) else least[i]
+                bound = (q[i] * q[i]).sum() + norm - 2 * low
+                near = scan(asks[i], turned, k + 1, bound * (1 + 1e-9) + 1e-9)
                 near = near[ids[near] != who[i]]
                 scores = (x[near] * q[i]).sum(axis=1)
+                near, scores = near[scores >= low], scores[scores >= low]
                 pick = top(scores, ids[near], k)
                 out[0].append(np.full(len(pick), who[i]))
                 out[1].append(ids[near][pick])
                 out[2].append(scores[pick])
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(look, "query_id bigint, vec_id bigint, score double")
-    return best(found, k)
+    # A bound for each query from one vector in FIRST, whatever the list; with it,
+    # a query's lists return about FIRST * k rows together, however many they are.
+    few = placed.where(F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(FIRST)) == 0)
+    n = max(1, -(-few.count() // PART))
+    few = few.select(F.lit(0).cast("long").alias("list"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"), "vec_id", "v")
+    open_asks = asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(0).cast("long").alias("list"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), F.lit(None).cast("double").alias("least"))
+    first = cut(best(few.groupBy("list", "part").cogroup(open_asks.groupBy("list", "part")).applyInArrow(look, kind), k), "ann-first")
+    least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    asked = asked.join(least, "query_id", "left")
+    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(look, kind)
+    return best(found.union(first.select(*found.columns)).distinct(), k)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
