@@ -36,7 +36,7 @@ SCALE = 1024
 #: pivots at most.
 SAMPLE, PER_PIVOT, MOST_PIVOTS = 20_000, 2048, 4096
 #: Vectors of a part; entries of a page; children of an inner node.
-PART, PAGE, FANOUT = 8192, 64, 16
+PART, PAGE, FANOUT = 8192, 512, 16
 #: Roots of exact integers are off by less.
 MARGIN = 1e-9
 ASK = 100
@@ -46,7 +46,7 @@ class Node:
     """A routing object with its covering radius and distance to the parent's
     routing object; either children, or a page of entries."""
 
-    __slots__ = ("center", "radius", "to_parent", "children", "rows", "dists")
+    __slots__ = ("center", "radius", "to_parent", "children", "rows", "dists", "centers", "radii", "parents")
 
     def __init__(self, center: np.ndarray, to_parent: float):
         self.center, self.to_parent = center, to_parent
@@ -82,13 +82,16 @@ def build(x: np.ndarray, rows: np.ndarray, center: np.ndarray, to_parent: float)
         mine = rows[owner == i]
         if len(mine):
             node.children.append(build(x, mine, x[rows[p]], float(dist[p])))
+    node.centers = np.stack([c.center for c in node.children])
+    node.radii = np.array([c.radius for c in node.children])
+    node.parents = np.array([c.to_parent for c in node.children])
     return node
 
 
 def search_tree(root: Node, x: np.ndarray, query: np.ndarray, k: int, bound: float, measure) -> tuple[np.ndarray, int]:
     """Rows that may be among the k nearest of ``query`` and no farther than
     ``bound``; how many distances were computed."""
-    found: list[float] = []  # the k least distances, negated, as a heap
+    found = np.zeros(0)  # the k least distances
     kept: list[np.ndarray] = []
     d = float(np.sqrt(((root.center - query) ** 2).sum()))
     heap, tick, computed = [(max(0.0, d - root.radius), 0, d, root)], 0, 1
@@ -105,23 +108,19 @@ def search_tree(root: Node, x: np.ndarray, query: np.ndarray, k: int, bound: flo
                 computed += len(rows)
                 stay = dist <= limit * (1 + MARGIN) + MARGIN
                 kept.append(rows[stay])
-                for v in dist[stay].tolist():
-                    if len(found) < k:
-                        heapq.heappush(found, -v)
-                    elif v < -found[0]:
-                        heapq.heapreplace(found, -v)
+                found = np.sort(np.concatenate((found, dist[stay])))[:k]
                 if len(found) == k:
-                    limit = min(limit, -found[0])
+                    limit = min(limit, float(found[-1]))
             continue
-        for child in node.children:
-            if abs(d - child.to_parent) - child.radius > limit * (1 + MARGIN) + MARGIN:
-                continue
-            e = float(np.sqrt(((child.center - query) ** 2).sum()))
-            computed += 1
-            least = max(0.0, e - child.radius)
-            if least <= limit * (1 + MARGIN) + MARGIN:
-                tick += 1
-                heapq.heappush(heap, (least, tick, e, child))
+        at = np.flatnonzero(np.abs(d - node.parents) - node.radii <= limit * (1 + MARGIN) + MARGIN)
+        if len(at):
+            e = distances(node.centers[at], query)
+            computed += len(at)
+            for i, far in zip(at.tolist(), e.tolist()):
+                least = max(0.0, far - node.radii[i])
+                if least <= limit * (1 + MARGIN) + MARGIN:
+                    tick += 1
+                    heapq.heappush(heap, (least, tick, far, node.children[i]))
     return np.concatenate(kept) if kept else np.zeros(0, np.int64), computed
 
 
