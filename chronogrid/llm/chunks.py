@@ -13,11 +13,12 @@ import re
 from collections.abc import Callable
 
 #: Chunks kept by a Python worker; a full cache is emptied, which costs only time.
-LIMIT = 400_000
+LIMIT = 600_000
 #: Marks that must stay together: a text with them is not split at its marks.
 RUNS = (",, ", "., ", ",. ", ".. ")
-#: What a chunk may hold: characters whose class no library version disputes.
-_PLAIN = re.compile("[!-~¡-¬®-ǿ]+").fullmatch
+#: What a chunk may hold: characters whose class no library version disputes,
+#: after a sign that the caller may have put before it.
+_PLAIN = re.compile("[\x03\x04]?[!-~¡-¬®-ǿ]+").fullmatch
 
 
 def plain(chunk: str) -> bool:
@@ -36,21 +37,21 @@ class Chunks:
     def get(self, words: list[str]) -> bytes | None:
         """The bytes of all ``words``, joined; None if one of them spoils it."""
         known = self.known
+        out = list(map(known.get, words))
+        if None in out:
+            holes = [i for i, v in enumerate(out) if v is None]
+            new = {words[i] for i in holes}
+            if len(known) + len(new) > LIMIT:
+                known.clear()
+                known.update(self.fixed)
+                new -= self.fixed.keys()
+            good = [w for w in new if plain(w) and (not self.bare or w[-1].isalnum())]
+            known.update(dict.fromkeys(new, False))
+            if good:
+                known.update(zip(good, self.encode(good)))
+            for i in holes:
+                out[i] = known[words[i]]
         try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        except TypeError:
-            return None
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > LIMIT:
-            known.clear()
-            known.update(self.fixed)
-            new = list(set(words) - set(self.fixed))
-        good = [w for w in new if plain(w) and (not self.bare or w[-1].isalnum())]
-        known.update(dict.fromkeys(new, False))
-        known.update(zip(good, self.encode(good)))
-        try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(out)
         except TypeError:
             return None

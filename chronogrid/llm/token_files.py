@@ -19,8 +19,10 @@ renamed, so that a repeated task leaves one whole file.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,9 @@ MAGIC = b"CGTOKEN1"
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 DICTIONARY_BYTES = 64 << 10
 NO_ID = (1 << 63) - 1
-#: Marks of a comma and a full stop at a chunk's end, in the cache only.
-_COMMA, _STOP = "\x01", "\x02"
+#: In the cache only: a comma and a full stop at a chunk's end, a chunk after a
+#: line feed, and a text's first chunk.
+_COMMA, _STOP, _LINE, _FIRST = "\x01", "\x02", "\x03", "\x04"
 
 
 class Encoder:
@@ -55,47 +58,38 @@ class Encoder:
 
         self.library = Tokenizer.from_str(spec)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 65536 and end_id < 65536 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.end = self._bytes([end_id])
-        first = lambda words: self._all(words)
-        later = lambda words: self._all([" " + w for w in words])
         marks = {_COMMA: self._all([","])[0], _STOP: self._all(["."])[0]}
-        self.bare = Chunks(first, {}, True), Chunks(later, marks, True)
-        self.whole = Chunks(first, {}, False), Chunks(later, {}, False)
-        self.feed = self._all(["\n"])[0]
+        self.bare, self.whole = Chunks(self._chunks, marks, True), Chunks(self._chunks, {}, False)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _all(self, words: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _chunks(self, words: list[str]) -> list[bytes]:
+        lead = {_LINE: "\n", _FIRST: ""}
+        return self._all([lead[w[0]] + w[1:] if w[0] in lead else " " + w for w in words])
+
     def _cached(self, text: str) -> bytes | None:
         """By chunks, where a space before a character that is not white space
         and a line feed between such characters are always token boundaries."""
-        lines = text.split("\n")
-        if _COMMA not in text and _STOP not in text:
-            out = []
-            for line in lines:
-                if any(two in line for two in RUNS):
-                    break
-                words = line.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
-                if words.endswith(".") and words[-2:-1].isalnum():
-                    words = f"{words[:-1]} {_STOP}"
-                words = words.split(" ")
-                a, b = self.bare[0].get(words[:1]), self.bare[1].get(words[1:])
-                if a is None or b is None or words[0] in (_COMMA, _STOP):
-                    break
-                out.append(a + b)
-            else:
-                return self.feed.join(out)
-        out = []
-        for line in lines:
-            words = line.split(" ")
-            a, b = self.whole[0].get(words[:1]), self.whole[1].get(words[1:])
-            if a is None or b is None:
-                return None
-            out.append(a + b)
-        return self.feed.join(out)
+        if any(c in text for c in (_COMMA, _STOP, _LINE, _FIRST)):
+            return None
+        text = _FIRST + text.replace("\n", " " + _LINE)
+        if not any(two in text for two in RUNS):
+            split = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
+            if split.endswith(".") and split[-2].isalnum():
+                split = f"{split[:-1]} {_STOP}"
+            got = self.bare.get(split.split(" "))
+            if got is not None:
+                return got
+        return self.whole.get(text.split(" "))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, then the end id, as little-endian integers."""
