@@ -76,7 +76,7 @@ class Grammar:
             return known
         w = max((self.learned.get(p, 0.0) for p in (word, *(word[:n] for n in STEMS if n < len(word)))), default=0.0)
         out = (INSULT, w) if w > 0 else self.words.get(word, (OTHER, 0.0))
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         self.cache[word] = out
         return out
