@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Quality
 from ..functions.arrays import median, quantile, total
+from ..series import sealed
 
 OK, INSUFFICIENT_OBS, TOO_MANY_MISSING, CONSTANT, OUT_OF_RANGE = range(5)
 FLAG_NAMES = {0: "OK", 1: "INSUFFICIENT_OBS", 2: "TOO_MANY_MISSING", 3: "CONSTANT", 4: "OUT_OF_RANGE"}
@@ -34,7 +35,7 @@ def assess(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "quality", cf
 
 def usable(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Quality | None = None) -> DataFrame:
     """The series that pass the gate."""
-    return assess(df, n_time, x, "_q", cfg).where(f"_q.flag = {OK}").drop("_q")
+    return sealed(assess(df, n_time, x, "_q", cfg)).where(f"_q.flag = {OK}").drop("_q")
 
 
 def summary(assessed: DataFrame, col: str = "quality") -> DataFrame:

@@ -1,4 +1,4 @@
-"""The feature table: 48 columns of each series in one narrow stage.
+"""The feature table: 48 columns of each series without a shuffle after the first.
 
 All estimators are projections of one row, so that after the series are made no
 data is shuffled again, whatever their number.
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import breaks, quality, spectral, trend
+from ..series import sealed
 
 #: Columns by group, in the order of the table.
 GROUPS = {
@@ -41,19 +42,18 @@ def estimates(series: DataFrame, n_time: int, cfg: Config | None = None) -> Data
     """The series with the structs of all estimators: mk, hr, fit, cyc, brk, rec,
     ndvi_stats, rain_stats, and the scalars sen, ols_slope, rain_sen, correlation."""
     cfg = cfg or Config()
-    df = quality.describe(quality.describe(series, "ndvi"), "rain")
-    df = trend.mann_kendall(df, min_obs=cfg.trend.min_obs, ties=cfg.trend.apply_ties_correction)
-    df = trend.sens_slope(df, min_obs=cfg.trend.min_obs)
-    df = trend.sens_slope(df, "rain", "rain_sen", cfg.trend.min_obs)
+    df = sealed(quality.describe(quality.describe(series, "ndvi"), "rain"))
+    df = sealed(trend.mann_kendall(df, min_obs=cfg.trend.min_obs, ties=cfg.trend.apply_ties_correction))
+    df = sealed(trend.sens_slope(trend.sens_slope(df, min_obs=cfg.trend.min_obs), "rain", "rain_sen", cfg.trend.min_obs))
     if cfg.trend.apply_autocorrelation_correction:
-        df = trend.hamed_rao(df, n_time, cfg=cfg.trend)
+        df = sealed(trend.hamed_rao(df, n_time, cfg=cfg.trend))
     else:
         df = df.withColumn("hr", F.struct("mk.z", "mk.p", F.lit(1.0).alias("ratio")))
-    df = trend.pearson(trend.ols_slope(df))
-    df = trend.restrend(df, out="fit", cfg=cfg.restrend)
-    df = spectral.cyclicity(df, n_time, cfg=cfg.cyclicity)
-    df = breaks.breakpoint(df, n_time, cfg=cfg.breakpoint)
-    return breaks.recovery(df, n_time, cfg=cfg.recovery)
+    df = sealed(trend.pearson(trend.ols_slope(df)))
+    df = sealed(trend.restrend(df, out="fit", cfg=cfg.restrend))
+    df = sealed(spectral.cyclicity(df, n_time, cfg=cfg.cyclicity))
+    df = sealed(breaks.breakpoint(df, n_time, cfg=cfg.breakpoint))
+    return sealed(breaks.recovery(df, n_time, cfg=cfg.recovery))
 
 
 def feature_table(series: DataFrame, n_time: int, cfg: Config | None = None) -> DataFrame:
@@ -82,4 +82,4 @@ def feature_table(series: DataFrame, n_time: int, cfg: Config | None = None) ->
         "recovery_duration": at_drop("rec.recovery_duration"), "recovery_slope": at_drop("rec.recovery_slope"), "recovery_status": "cast(rec.status as double)",
         "n_valid_ndvi": "cast(ndvi_stats.n as double)", "n_valid_pairs": "cast(fit.n as double)",
     }
-    return df.select("pixel_id", *[F.expr(columns[c]).alias(c) for c in feature_names()])
+    return sealed(df.select("pixel_id", *[F.expr(columns[c]).alias(c) for c in feature_names()]))

@@ -52,10 +52,10 @@ add("mk_test_gappy", f"WITH {USR}, {O.MK} SELECT {MK_COLS} FROM mk")(lambda s, d
 add("sens_slope", f"WITH {SUP}, {O.MK} SELECT pixel_id, {cols(sen='sen')} FROM mk")(lambda s, d: trend.sens_slope(S.supplier_months(s, d)).select("pixel_id", "sen"))
 for _name, _src, _n, _base, _hr in (("mk_hamed_rao", S.supplier_months, 83, SUP, HR83), ("mk_hamed_rao_gappy", S.user_days, 30, USR, HR30)):
     add(_name, f"WITH {_base}, {O.MK}, {_hr} SELECT pixel_id, {cols(z='hz', p=O.normal_p('hz'), ratio='ratio')} FROM hrz")(
-        lambda s, d, f=_src, n=_n: trend.hamed_rao(trend.mann_kendall(f(s, d)), n).select("pixel_id", "hr.*")
+        lambda s, d, f=_src, n=_n: trend.hamed_rao(S.sealed(trend.mann_kendall(f(s, d))), n).select("pixel_id", "hr.*")
     )
 add("significant_declines", f"WITH {SUP}, {O.MK}, {HR83} SELECT pixel_id, {cols(sen='sen', p=O.normal_p('hz'))} FROM hrz WHERE {O.normal_p('hz')} < 0.3 AND sen < 0 ORDER BY sen, pixel_id LIMIT 20")(
-    lambda s, d: trend.sens_slope(trend.hamed_rao(trend.mann_kendall(S.supplier_months(s, d)), 83)).select("pixel_id", "sen", F.col("hr.p").alias("p")).where("p < 0.3 and sen < 0").orderBy("sen", "pixel_id").limit(20)
+    lambda s, d: S.sealed(trend.sens_slope(S.sealed(trend.hamed_rao(S.sealed(trend.mann_kendall(S.supplier_months(s, d))), 83)))).select("pixel_id", "sen", F.col("hr.p").alias("p")).where("p < 0.3 and sen < 0").orderBy("sen", "pixel_id").limit(20)
 )
 add("ols_slope", f"WITH {USR} SELECT pixel_id, {cols(ols_slope='regr_slope(x, t)')} FROM s GROUP BY 1")(lambda s, d: trend.ols_slope(S.user_days(s, d)).select("pixel_id", "ols_slope"))
 add("pearson", f"WITH {USR} SELECT pixel_id, {cols(correlation='CASE WHEN count(x) >= 3 THEN corr(x, r) END')} FROM s WHERE x IS NOT NULL GROUP BY 1")(lambda s, d: trend.pearson(S.user_days(s, d)).select("pixel_id", "correlation"))
@@ -79,25 +79,25 @@ SELECT pixel_id, n::INTEGER AS n, coalesce(n >= 10 AND r2 >= 0.1 AND beta_p < 0.
 # ---------------------------------------------------------------- spectral, breaks
 
 add("dft_power", f"WITH {SUP}, {O.spectrum(83)} SELECT pixel_id, k::INTEGER AS k, {cols(power='p')} FROM pw")(
-    lambda s, d: spectral.dft_power(S.supplier_months(s, d), 83).select("pixel_id", F.posexplode("power").alias("i", "power")).select("pixel_id", (F.col("i") + 1).alias("k"), "power")
+    lambda s, d: S.sealed(spectral.dft_power(S.supplier_months(s, d), 83).select("pixel_id", "power")).select("pixel_id", F.posexplode("power").alias("i", "power")).select("pixel_id", (F.col("i") + 1).alias("k"), "power")
 )
 CYC = "pixel_id, coalesce(enrichment >= 2.0, false) AS periodic, " + cols(**{k: k for k in ("score", "enrichment", "period", "band_power", "total_power")})
 for _name, _src, _n, _base in (("cyclicity", S.supplier_months, 83, SUP), ("cyclicity_gappy", S.user_days, 30, USR)):
     add(_name, f"WITH {_base}, {O.spectrum(_n)} SELECT {CYC} FROM cyc")(lambda s, d, f=_src, n=_n: spectral.cyclicity(f(s, d), n).select("pixel_id", "cyc.*"))
 add("dominant_period", f"WITH {SUP}, {O.spectrum(83)} SELECT {cols(period='period')}, count(*) AS n_pixels FROM cyc GROUP BY period")(
-    lambda s, d: spectral.cyclicity(S.supplier_months(s, d), 83).groupBy(F.col("cyc.period").alias("period")).agg(F.count(F.lit(1)).alias("n_pixels"))
+    lambda s, d: S.sealed(spectral.cyclicity(S.supplier_months(s, d), 83).select("cyc")).groupBy(F.col("cyc.period").alias("period")).agg(F.count(F.lit(1)).alias("n_pixels"))
 )
 BRK = "pixel_id, k AS index, significant, " + cols(delta_slope="d", gain="gain", f_stat="f", p="p", p_adjusted="padj")
 REC = "pixel_id, tt::INTEGER AS trough_index, status::INTEGER AS status, " + cols(pre_level="pre", trough_value="tx", disturbance_magnitude="mag", recovery_magnitude="back", recovery_fraction="frac", recovery_duration="dur", recovery_slope="slope")
 for _tag, _src, _n, _base in (("", S.supplier_months, 83, SUP), ("_gappy", S.user_days, 30, USR)):
     add(f"breakpoint{_tag}", f"WITH {_base}, {O.breaks(_n)} SELECT {BRK} FROM brk")(lambda s, d, f=_src, n=_n: breaks.breakpoint(f(s, d), n).select("pixel_id", "brk.*"))
-    add(f"recovery{_tag}", f"WITH {_base}, {O.breaks(_n)}, {O.RECOVERY} SELECT {REC} FROM rec")(lambda s, d, f=_src, n=_n: breaks.recovery(breaks.breakpoint(f(s, d), n), n).select("pixel_id", "rec.*"))
+    add(f"recovery{_tag}", f"WITH {_base}, {O.breaks(_n)}, {O.RECOVERY} SELECT {REC} FROM rec")(lambda s, d, f=_src, n=_n: breaks.recovery(S.sealed(breaks.breakpoint(f(s, d), n)), n).select("pixel_id", "rec.*"))
 add("recovery_summary", f"WITH {USR}, {O.breaks(30)}, {O.RECOVERY} SELECT status::INTEGER AS status, count(*) AS n_pixels, {cols(median_duration='median(dur)', median_fraction='median(frac)')} FROM rec GROUP BY 1")(
-    lambda s, d: breaks.recovery(breaks.breakpoint(S.user_days(s, d), 30), 30).groupBy(F.col("rec.status").alias("status")).agg(
+    lambda s, d: S.sealed(breaks.recovery(S.sealed(breaks.breakpoint(S.user_days(s, d), 30)), 30).select("rec")).groupBy(F.col("rec.status").alias("status")).agg(
         F.count(F.lit(1)).alias("n_pixels"), F.percentile("rec.recovery_duration", F.lit(0.5)).alias("median_duration"), F.percentile("rec.recovery_fraction", F.lit(0.5)).alias("median_fraction"))
 )
 add("break_histogram", f"WITH {SUP}, {O.breaks(83)} SELECT (1995 + k // 12)::INTEGER AS year, count(*) AS n_pixels, count(*) FILTER (significant) AS n_significant FROM brk WHERE k >= 0 GROUP BY 1")(
-    lambda s, d: breaks.breakpoint(S.supplier_months(s, d), 83).where("brk.index >= 0").groupBy(F.expr("cast(1995 + brk.index div 12 as int)").alias("year")).agg(F.count(F.lit(1)).alias("n_pixels"), F.sum(F.col("brk.significant").cast("long")).alias("n_significant"))
+    lambda s, d: S.sealed(breaks.breakpoint(S.supplier_months(s, d), 83).select("pixel_id", "brk")).where("brk.index >= 0").groupBy(F.expr("cast(1995 + brk.index div 12 as int)").alias("year")).agg(F.count(F.lit(1)).alias("n_pixels"), F.sum(F.col("brk.significant").cast("long")).alias("n_significant"))
 )
 
 # ---------------------------------------------------------------- quality

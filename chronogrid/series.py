@@ -32,6 +32,18 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[r6(f"`{c}`").alias(c) if kind == "double" and c not in keep else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows, kept on executors (memory, then disk) and opaque to the
+    optimizer.
+
+    Estimators are chains of projections.  A filter, an explode or an aggregate
+    on an estimate would be rewritten into all expressions below it, over and
+    over, which takes the optimizer time exponential in the chain's length.  A
+    lost part is computed again from its lineage.
+    """
+    return df.persist()
+
+
 def to_arrays(cells: DataFrame, n_time: int, values: Iterable[str] = ("ndvi", "rain")) -> DataFrame:
     """(pixel_id, t, values...) rows to one row of arrays for each pixel.
 
@@ -55,8 +67,9 @@ def with_grid(series: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def to_long(series: DataFrame) -> DataFrame:
-    """One row for each pixel and step."""
-    return series.select("pixel_id", F.posexplode(F.arrays_zip("ndvi", "rain")).alias("t", "c")).select("pixel_id", "t", "c.ndvi", "c.rain")
+    """One row for each pixel and step of a series' ndvi and rain."""
+    series = sealed(series.select("pixel_id", F.arrays_zip("ndvi", "rain").alias("c")))
+    return series.select("pixel_id", F.posexplode("c").alias("t", "c")).select("pixel_id", "t", "c.ndvi", "c.rain")
 
 
 def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
