@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import series as S
 from ..config import Config
-from ..operators import breaks, evaluation, ingest, joins, quality, rules, spatial, spectral, trend, windows
+from ..operators import breaks, evaluation, ingest, joins, models, quality, rules, spatial, spectral, trend, windows
 from . import demo
 from . import oracle_parts as O
 from .features import GROUPS, feature_dictionary, feature_names, feature_table
@@ -404,3 +404,17 @@ add("welch_step", f"WITH {demo.OBSERVATIONS_SQL}, y AS (SELECT year(obs_date) AS
 )
 add("stratified_sample", f"WITH {demo.PREDICTIONS_SQL} SELECT pixel_id, truth FROM (SELECT pixel_id, truth, row_number() OVER (PARTITION BY truth ORDER BY md5('42:' || pixel_id)) AS r FROM pr) WHERE r <= 20")(lambda s, d: evaluation.stratified_sample(demo.predictions(s, d), "truth", 20).select("pixel_id", "truth"))
 add("thin_pixels", "SELECT c_custkey AS pixel_id FROM customer ORDER BY md5('42:' || c_custkey) LIMIT 50")(lambda s, d: evaluation.thin(S.table(s, d, "customer").select(F.col("c_custkey").alias("pixel_id")), 50))
+
+# ---------------------------------------------------------------- without SQL: random draws and fitted models
+
+add("surrogate_test", None)(lambda s, d: models.surrogate_test(S.user_days(s, d), 30))
+
+
+def _forest_samples(s: SparkSession, d: str) -> DataFrame:
+    labelled = demo.supplier_features(s, d).withColumn("label", F.expr("cast(sen < 0 as int)"))
+    placed = labelled.withColumns({"row": F.expr("cast(pixel_id div 10 as int)"), "col": F.expr("cast(pixel_id % 10 as int)")})
+    return spatial.block_folds(placed, 2, 10, 3)
+
+
+FOREST = Config().override("forest.n_trees", 30).forest
+add("rf_spatial_cv", None)(lambda s, d: models.spatial_cv(_forest_samples(s, d), feature_names(["rainfall", "restrend", "cyclicity"]), "label", 3, FOREST))
