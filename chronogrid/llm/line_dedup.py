@@ -97,7 +97,8 @@ def _postings(keyed: DataFrame, percent: int) -> DataFrame:
         keyed.withColumn("n", F.size("k"))
         .withColumns(
             {
-                "bits": F.expr("coalesce(aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int))), 0L)"),
+                "bits": F.expr("coalesce(aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a ^ shiftleft(1L, cast(x & 63 as int)), a)), 0L)"),
+                "more": F.expr("coalesce(aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int)))), 0L)"),
                 "sig": F.xxhash64("k"),
             }
         )
@@ -106,6 +107,7 @@ def _postings(keyed: DataFrame, percent: int) -> DataFrame:
             "line_no",
             "n",
             "bits",
+            "more",
             "sig",
             F.posexplode(F.expr(f"if({alone}, array(sig), slice(k, 1, cast(n - {need} + 1 as int)))")).alias("pos", "token"),
         )
@@ -118,7 +120,7 @@ def _near(x: str, y: str, percent: int) -> str:
     return (
         f"({percent} * {x}.n <= 100 * {y}.n and {percent} * {y}.n <= 100 * {x}.n"
         f" and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {overlap}"
-        f" and bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n - 2 * {overlap})"
+        f" and bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more) <= {x}.n + {y}.n - 2 * {overlap})"
     )
 
 
@@ -135,7 +137,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
     group = Window.partitionBy("token")
     order = group.orderBy("doc_id", "line_no")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row = F.struct("doc_id", "line_no", "n", "pos", "bits")
+    row = F.struct("doc_id", "line_no", "n", "pos", "bits", "more")
     met = postings.select(
         "token",
         row.alias("x"),
@@ -146,7 +148,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
     pairs = [
         F.expr(
             f"if(at > {i + 1} and {_before(f'y{i}', 'x')} and {_near('x', f'y{i}', percent)}, "
-            f"named_struct('p', named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y{i}.doc_id, 'yl', y{i}.line_no, 'far', bit_count(x.bits ^ y{i}.bits)), 'h', cast(null as struct<at: int, token: bigint>)), null)"
+            f"named_struct('p', named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y{i}.doc_id, 'yl', y{i}.line_no, 'far', bit_count(x.bits ^ y{i}.bits) + bit_count(x.more ^ y{i}.more)), 'h', cast(null as struct<at: int, token: bigint>)), null)"
         )
         for i in range(LEADERS)
     ]
@@ -155,7 +157,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
         "'h', named_struct('at', at, 'token', token)), null)"
     )
     return met.select("x", F.explode(F.array_compact(F.array(*pairs, hot))).alias("r")).select(
-        "r.p", F.expr("if(r.h is null, null, named_struct('at', r.h.at, 'token', r.h.token, 'doc_id', x.doc_id, 'line_no', x.line_no, 'n', x.n, 'pos', x.pos, 'bits', x.bits))").alias("h")
+        "r.p", F.expr("if(r.h is null, null, named_struct('at', r.h.at, 'token', r.h.token, 'doc_id', x.doc_id, 'line_no', x.line_no, 'n', x.n, 'pos', x.pos, 'bits', x.bits, 'more', x.more))").alias("h")
     )
 
 
@@ -172,10 +174,10 @@ def _involved(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     dealt = postings.repartition("token")
     again = (
         dealt.where("pos + cast(rand() * 0 as int) = 0")
-        .withColumn("at", F.row_number().over(Window.partitionBy("token", "sig", "n", "bits").orderBy("doc_id", "line_no")))
+        .withColumn("at", F.row_number().over(Window.partitionBy("token", "sig", "n", "bits", "more").orderBy("doc_id", "line_no")))
         .where("at > 1")
     )
-    sets = dealt.groupBy("token", "sig", "n", "pos", "bits").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
+    sets = dealt.groupBy("token", "sig", "n", "pos", "bits", "more").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
     x, y = sets.alias("x"), sets.alias("y")
     near = x.join(y, F.expr(f"x.token = y.token and x.sig <> y.sig and {_near('x', 'y', percent)} and (y.line_no >= 0 or y.doc_id is null)"), "left_semi")
     rows = again.select("doc_id", "line_no", F.lit(None).cast("long").alias("sig")).union(near.select("doc_id", "line_no", "sig"))
