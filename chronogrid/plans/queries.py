@@ -399,7 +399,7 @@ add("no_lookahead", "SELECT 0::BIGINT AS n_changed")(lambda s, d: evaluation.no_
 add("ablation_groups", "SELECT * FROM (VALUES ('A', 14), ('B', 25), ('C', 31), ('D', 46)) v(experiment, n_features)")(
     lambda s, d: s.createDataFrame([(k, len(feature_names(g))) for k, g in (("A", ["vegetation", "trend"]), ("B", ["vegetation", "trend", "rainfall", "restrend"]), ("C", ["vegetation", "trend", "rainfall", "restrend", "cyclicity"]), ("D", [g for g in GROUPS if g != "diagnostic"]))], "experiment string, n_features int")
 )
-add("welch_step", f"WITH {demo.OBSERVATIONS_SQL}, y AS (SELECT year(obs_date) AS year, avg(value) AS v FROM ob GROUP BY 1), g AS (SELECT avg(v) FILTER (year < 1998) AS a, avg(v) FILTER (year >= 1998) AS b, var_samp(v) FILTER (year < 1998) / count(*) FILTER (year < 1998) + var_samp(v) FILTER (year >= 1998) / count(*) FILTER (year >= 1998) AS e, count(*) AS n FROM y) SELECT {cols(step='b - a', error='sqrt(e)', t='(b - a) / sqrt(e)', equivalent_slope='(b - a) / (n / 2)')} FROM g")(
+add("welch_step", f"WITH {demo.OBSERVATIONS_SQL}, y AS (SELECT year(obs_date) AS year, avg(value) AS v FROM ob GROUP BY 1), g AS (SELECT avg(v) FILTER (year < 1998) AS a, avg(v) FILTER (year >= 1998) AS b, var_samp(v) FILTER (year < 1998) / count(*) FILTER (year < 1998) + var_samp(v) FILTER (year >= 1998) / count(*) FILTER (year >= 1998) AS e, count(*) AS n FROM y HAVING count(*) FILTER (v IS NOT NULL AND year < 1998) >= 3 AND count(*) FILTER (v IS NOT NULL AND year >= 1998) >= 3) SELECT {cols(step='b - a', error='sqrt(e)', t='(b - a) / sqrt(e)', equivalent_slope='(b - a) / (n / 2)')} FROM g")(
     lambda s, d: evaluation.welch_step(demo.observations(s, d).groupBy(F.year("obs_date").alias("year")).agg(F.avg("value").alias("value")), 1998)
 )
 add("stratified_sample", f"WITH {demo.PREDICTIONS_SQL} SELECT pixel_id, truth FROM (SELECT pixel_id, truth, row_number() OVER (PARTITION BY truth ORDER BY md5('42:' || pixel_id)) AS r FROM pr) WHERE r <= 20")(lambda s, d: evaluation.stratified_sample(demo.predictions(s, d), "truth", 20).select("pixel_id", "truth"))
