@@ -174,7 +174,7 @@ def _involved(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     dealt = postings.repartition("token")
     again = (
         dealt.where("pos + cast(rand() * 0 as int) = 0")
-        .withColumn("at", F.row_number().over(Window.partitionBy("token", "sig", "n", "bits", "more").orderBy("doc_id", "line_no")))
+        .withColumn("at", F.rank().over(Window.partitionBy("token", "sig", "n", "bits", "more").orderBy("doc_id", "line_no")))
         .where("at > 1")
     )
     sets = dealt.groupBy("token", "sig", "n", "pos", "bits", "more").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
