@@ -346,7 +346,7 @@ add("rank_average", f"WITH v AS (SELECT p_partkey, p_size FROM part), c AS (SELE
 add("run_compare", f"WITH a AS (SELECT o_orderpriority AS quantity, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1996 AND o_orderpriority < '5' GROUP BY 1), b AS (SELECT o_orderpriority AS quantity, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1997 AND o_orderpriority > '2' GROUP BY 1) SELECT quantity, a.v AS before, b.v AS after, b.v - a.v AS change FROM a FULL JOIN b USING (quantity)")(
     lambda s, d: joins.compare_runs(*[S.table(s, d, "orders").where(c).groupBy(F.col("o_orderpriority").alias("quantity")).agg(F.count(F.lit(1)).cast("double").alias("value")) for c in ("year(o_orderdate) = 1996 and o_orderpriority < '5'", "year(o_orderdate) = 1997 and o_orderpriority > '2'")])
 )
-add("sensor_years", f"WITH {demo.SCENES_SQL} SELECT year(obs_date)::INTEGER AS year, string_agg(DISTINCT sensor, '+' ORDER BY sensor) AS sensors, count(*) AS n_scenes FROM sc WHERE scene_id % 97 = 0 GROUP BY 1")(lambda s, d: joins.sensor_years(demo.scenes(s, d).where("scene_id % 97 = 0")))
+add("sensor_years", f"WITH {demo.SCENES_SQL} SELECT year(obs_date)::INTEGER AS year, string_agg(DISTINCT sensor, '+' ORDER BY sensor) AS sensors, count(*) AS n_scenes FROM sc WHERE scene_id % 97 = 0 GROUP BY 1")(lambda s, d: joins.sensor_years(demo.scenes(s, d)))
 add("common_set", f"WITH {demo.METHODS_SQL} SELECT method, pixel_id FROM mf WHERE pixel_id IN (SELECT pixel_id FROM mf WHERE evaluated GROUP BY 1 HAVING count(*) = 3)")(lambda s, d: joins.common_set(demo.method_flags(s, d)).select("method", "pixel_id"))
 add("calendar_join", "SELECT c_mktsegment, count(o_orderkey) AS n_orders, count(DISTINCT c_custkey) AS n_customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1998 GROUP BY 1")(
     lambda s, d: S.table(s, d, "customer").join(S.table(s, d, "orders").where("year(o_orderdate) = 1998"), F.expr("o_custkey = c_custkey"), "left").groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("n_orders"), F.count_distinct("c_custkey").alias("n_customers"))
