@@ -336,8 +336,8 @@ PAIR = f"""{demo.SCENES_SQL}, oli AS (SELECT scene_id, obs_date FROM sc WHERE se
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    x = demo.scenes(s, d).where("pixel_id = 3").withColumn("id", F.col("scene_id"))
-    return joins.asof_nearest(x.where("sensor in ('LANDSAT8_OLI', 'LANDSAT9_OLI2')"), x.where("sensor in ('LANDSAT5_TM', 'LANDSAT7_ETM')"), "obs_date", "obs_date", 45)
+    x = demo.scenes(s, d).withColumn("id", F.col("scene_id"))
+    return joins.asof_nearest(x.where("sensor in ('LANDSAT8_OLI', 'LANDSAT9_OLI2')"), x.where("sensor in ('LANDSAT5_TM', 'LANDSAT7_ETM')"), "obs_date", "obs_date", 45, by="pixel_id")
 
 
 add("asof_sensor_pair", f"WITH {PAIR} SELECT left_id, arg_min(right_id, (gap, obs_date, right_id)) AS right_id, min(gap)::INTEGER AS gap_days FROM near GROUP BY 1")(_pairs)

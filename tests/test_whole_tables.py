@@ -25,3 +25,12 @@ def test_sensor_years_of_all_scenes(spark, folder):
     c = duck(folder)
     assert sorted(map(tuple, got)) == sorted(c.sql(sql).fetchall())
     assert sum(r.n_scenes for r in got) == c.sql("select count(*) from orders").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_asof_pairs_of_all_pixels(spark, folder):
+    sql = f"""WITH {demo.SCENES_SQL} SELECT o.scene_id, arg_min(t.scene_id, (abs(t.obs_date - o.obs_date), t.obs_date, t.scene_id)), min(abs(t.obs_date - o.obs_date))
+      FROM sc o JOIN sc t ON t.pixel_id = o.pixel_id AND abs(t.obs_date - o.obs_date) <= 45
+      WHERE o.sensor IN ('LANDSAT8_OLI', 'LANDSAT9_OLI2') AND t.sensor IN ('LANDSAT5_TM', 'LANDSAT7_ETM') GROUP BY 1"""
+    got = QUERIES["asof_sensor_pair"](spark, folder).select("left_id", "right_id", "gap_days").collect()
+    assert sorted(map(tuple, got)) == sorted(duck(folder).sql(sql).fetchall())
