@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,18 @@ def _reflectance(s: SparkSession, d: str) -> DataFrame:
     return joined.withColumns({b: ingest.scale_factors(F.col(b), F.col("scale"), F.col("offset")) for b in ("red", "nir", "blue", "swir1", "swir2")})
 
 
+
+def _height(cells: DataFrame, least: int) -> int:
+    """Rows of the grid: down to the last cell of the table, ``least`` at least."""
+    last = cells.agg(F.max("row")).collect()[0][0]
+    return max(least, -1 if last is None else last + 1)
+
+
+def _aggregated(s: SparkSession, d: str) -> DataFrame:
+    cells = demo.grid_cells(s, d)
+    return ingest.block_aggregate(cells, 3, _height(cells, 50), 40)
+
+
 # The factor keeps results off the middle between two roundings.
 add("scale_factors", f"WITH {REFL} SELECT scene_id, {cols(red='red * 1.0317', nir='nir * 1.0317')} FROM refl")(lambda s, d: _reflectance(s, d).select("scene_id", (F.col("red") * 1.0317).alias("red"), (F.col("nir") * 1.0317).alias("nir")))
 add("qa_mask", f"WITH {REFL} SELECT scene_id, (qa & 63) = 0 AND radsat = 0 AS usable, (qa & 63) = 0 AND ((qa >> 8) & 3) <= 2 AS strict FROM sc")(
@@ -154,7 +167,7 @@ add("cloud_prefilter", f"WITH {REFL} SELECT scene_id, coalesce(cloud_cover > 80,
 add("sensor_table", f"WITH {REFL} SELECT sensor, scale, off AS \"offset\", gain, bias FROM sensors")(lambda s, d: ingest.sensor_table(s))
 QUERIES["sensor_table"] = lambda s, d: ingest.sensor_table(s)
 add("block_aggregate", f"WITH {demo.CELLS_SQL} SELECT (row // 3)::INTEGER AS block_row, (col // 3)::INTEGER AS block_col, {cols(mean='avg(value)', median='median(value)', std='stddev_pop(value)')}, count(value) AS n_valid FROM ce WHERE row < 48 AND col < 39 GROUP BY 1, 2")(
-    lambda s, d: ingest.block_aggregate(demo.grid_cells(s, d), 3, 50, 40)
+    _aggregated
 )
 
 # ---------------------------------------------------------------- windows
@@ -311,14 +324,26 @@ add("polygon_mask", f"WITH {demo.CELLS_SQL}, ed(x1, y1, x2, y2) AS (VALUES {EDGE
 TARGET = "tg AS (SELECT (i // 25)::INTEGER AS row, (i % 25)::INTEGER AS col FROM (SELECT unnest(range(750)) AS i))"
 
 
-def _target(s: SparkSession) -> DataFrame:
-    return s.range(750).select(F.expr("cast(id div 25 as int)").alias("row"), F.expr("cast(id % 25 as int)").alias("col"))
+def _target(cells: DataFrame) -> DataFrame:
+    """Target cells, 25 in a row, as far as a row's centre is above the grid's end."""
+    rows = max(30, math.ceil((_height(cells, 0) - 0.3) / 1.6 - 0.5))
+    return cells.sparkSession.range(rows * 25).select(F.expr("cast(id div 25 as int)").alias("row"), F.expr("cast(id % 25 as int)").alias("col"))
+
+
+def _regridded(s: SparkSession, d: str, method: str) -> DataFrame:
+    cells = demo.grid_cells(s, d)
+    return spatial.regrid(cells, _target(cells), 1.6, 0.3, method)
+
+
+def _unflattened(s: SparkSession, d: str) -> DataFrame:
+    cells = demo.grid_cells(s, d)
+    return spatial.unflatten(cells, _height(cells, 52), 40)
 
 
-add("regrid_nearest", f"WITH {demo.CELLS_SQL}, {TARGET} SELECT tg.row, tg.col, {cols(value='ce.value')} FROM tg LEFT JOIN ce ON ce.row = floor((tg.row + 0.5) * 1.6 + 0.3) AND ce.col = floor((tg.col + 0.5) * 1.6 + 0.3)")(lambda s, d: spatial.regrid(demo.grid_cells(s, d), _target(s), 1.6, 0.3, "nearest"))
+add("regrid_nearest", f"WITH {demo.CELLS_SQL}, {TARGET} SELECT tg.row, tg.col, {cols(value='ce.value')} FROM tg LEFT JOIN ce ON ce.row = floor((tg.row + 0.5) * 1.6 + 0.3) AND ce.col = floor((tg.col + 0.5) * 1.6 + 0.3)")(lambda s, d: _regridded(s, d, "nearest"))
 add("regrid_bilinear", f"""WITH {demo.CELLS_SQL}, {TARGET}, pp AS (SELECT row, col, (row + 0.5) * 1.6 + 0.3 - 0.5 AS pr, (col + 0.5) * 1.6 + 0.3 - 0.5 AS pc FROM tg
 ), cn AS (SELECT pp.row, pp.col, ce.value, (1 - abs(pr - (floor(pr) + a))) * (1 - abs(pc - (floor(pc) + b))) AS w FROM pp CROSS JOIN (VALUES (0), (1)) u(a) CROSS JOIN (VALUES (0), (1)) v(b) LEFT JOIN ce ON ce.row = floor(pr) + a AND ce.col = floor(pc) + b)
-SELECT row, col, {cols(value='CASE WHEN sum(w) FILTER (value IS NOT NULL) > 1e-12 THEN sum(w * value) / sum(w) FILTER (value IS NOT NULL) END')} FROM cn GROUP BY 1, 2""")(lambda s, d: spatial.regrid(demo.grid_cells(s, d), _target(s), 1.6, 0.3))
+SELECT row, col, {cols(value='CASE WHEN sum(w) FILTER (value IS NOT NULL) > 1e-12 THEN sum(w * value) / sum(w) FILTER (value IS NOT NULL) END')} FROM cn GROUP BY 1, 2""")(lambda s, d: _regridded(s, d, "bilinear"))
 GA = {"crs": "EPSG:4326", "a": 0.1, "b": 0.0, "c": 90.0, "d": 0.0, "e": -0.1, "f": 26.0, "height": 50, "width": 40}
 add("grid_alignment", "SELECT * FROM (VALUES ('same', 0, ''), ('shifted', 3, 'origin,fraction of a pixel,extent'), ('coarse', 3, 'resolution,dimensions,extent')) v(candidate, n_problems, problems)")(
     lambda s, d: s.createDataFrame([(n, len(p := spatial.grid_alignment(GA, GA | c)), ",".join(p)) for n, c in (("same", {}), ("shifted", {"c": 90.05}), ("coarse", {"a": 0.2, "e": -0.2, "height": 25, "width": 25}))], "candidate string, n_problems int, problems string")
@@ -326,7 +351,7 @@ add("grid_alignment", "SELECT * FROM (VALUES ('same', 0, ''), ('shifted', 3, 'or
 add("temporal_alignment", "SELECT 83::BIGINT AS n_first, 83::BIGINT AS n_second, 83::BIGINT AS n_differ, true AS second_lags, false AS second_leads, true AS ascending")(
     lambda s, d: spatial.temporal_alignment(windows.monthly_windows(s, 1995, 2001).where("t < 83").select("t", "label"), windows.monthly_windows(s, 1994, 2001).selectExpr("t - 11 as t", "label").where("t between 0 and 82"))
 )
-add("unflatten", f"WITH {demo.CELLS_SQL} SELECT (i // 40)::INTEGER AS row, (i % 40)::INTEGER AS col, {cols(value='value')} FROM (SELECT unnest(range(2080)) AS i) LEFT JOIN ce ON pixel_id = i")(lambda s, d: spatial.unflatten(demo.grid_cells(s, d), 52, 40))
+add("unflatten", f"WITH {demo.CELLS_SQL} SELECT (i // 40)::INTEGER AS row, (i % 40)::INTEGER AS col, {cols(value='value')} FROM (SELECT unnest(range(2080)) AS i) LEFT JOIN ce ON pixel_id = i")(_unflattened)
 add("utm_zone", "SELECT c_custkey, (floor(((c_custkey * 7) % 360 - 180 + 180) / 6)::INTEGER % 60 + 1)::INTEGER AS zone FROM customer")(lambda s, d: S.table(s, d, "customer").select("c_custkey", spatial.utm_zone(F.expr("(c_custkey * 7) % 360 - 180")).alias("zone")))
 
 # ---------------------------------------------------------------- joins and ranks
