@@ -5,24 +5,28 @@ A line is the set of its distinct lower-cased words.  Lines have the order
 Jaccard similarity of at least ``percent`` / 100.  The result does not depend
 on partitions or on the order of rows.
 
-Method: words are ordered from rare to frequent, so that two similar lines
-share one of their first ``n - ceil(t n) + 1`` words (prefix filter).  Lines
-that share such a word are compared by size (length filter), by the words left
-after the shared one (positional filter), and by parity bitmaps whose Hamming
-distance never exceeds the symmetric difference.  What remains is verified on
-whole word sets.
-
-A word's frequency is that of its hash bucket, of which there are a fixed
-number; any fixed order of words gives exact results, so that a shared bucket
-costs only speed.  Word identity is 56 bits of xxhash64 next to that bucket's
-level.
-
-Skew: lines with equal word sets are one.  A semi-join first finds the sets that
-have any candidate; only those are compared.  A line needs one earlier partner,
-not all: in each group that shares a prefix word the first lines are tried
-first, and only lines of large groups that found no partner go on to the rest of
-their groups, in widening rounds.  So a family of n similar lines does not make
-n**2 rows, and no partner is left out.
+1. Lines with equal sets form a class, found by a partial aggregation; its first
+   line stands for it, and all its other lines go.
+2. Words are ordered from rare to frequent, so that two similar lines share one
+   of their first ``n - ceil(t n) + 1`` words (prefix filter).  Each class makes
+   one posting for each of these words.
+3. Classes that share such a word are compared by size (length filter), by the
+   words left after the shared one (positional filter), and by parity bitmaps
+   whose Hamming distance never exceeds the symmetric difference.  A semi-join
+   finds the classes that have any candidate; only these go on.
+4. A class needs one earlier partner, not all: the nearest by bitmap among the
+   first of a group is verified first, then the nearest of the whole group, then
+   all others.  So a family of n similar lines does not make n**2 rows, and no
+   partner is left out.  Candidates are verified on their words.
+
+A word's frequency is that of its hash bucket, counted over all documents, in a
+fixed number of buckets; any fixed order of words gives exact results, so that a
+shared bucket costs only speed.  Classes are told apart by 128 bits of hashes
+and their size; similar lines are verified on the words themselves.
+
+Skew: a class counts once, however many lines it has.  The postings of a word
+that is frequent in the corpus are dealt over several tasks; each of them gets
+all postings of the word to compare its share with.
 
 Everything is DataFrame expressions; no Python runs on executors.
 """
@@ -40,232 +44,242 @@ from .shared import cut, discard, id_filter, need_columns, plain_blanks
 #: Similarity, in percent, from which a later line goes.
 PERCENT = 80
 #: Hash buckets of the word-frequency table: its size never grows.
-BUCKETS = 1 << 16
-#: Lines of a group that every other line of it is compared with at once.
+BUCKETS = 1 << 17
+#: Postings of a word that one task compares; those of a task, at most about.
+HOT, PER_TASK = 1 << 16, 1 << 19
+#: Lines of a group that every other line of it is compared with first.
 LEADERS = 8
-#: Ends of the rounds, as positions in a group, for lines that found no partner.
-ROUNDS = (8, 64, 512, 4096, None)
+_NO_ID = (1 << 63) - 1
+#: A line's place as one number in the order of lines.
+_PLACE = "cast(doc_id as decimal(20,0)) * 4294967296BD + line_no"
+_LINE_NO = "cast(pmod({0}, 4294967296BD) as int)"
+_DOC_ID = "(({0} - pmod({0}, 4294967296BD)) div 4294967296BD)"
 
 
-def _words(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the largest), text; no null texts."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text").where("text is not null")
+
 
+def _words(line: str) -> Column:
+    return F.split(F.lower(line), " ")
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), words, of the lines that have words."""
-    return docs.select(
-        "doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")
-    ).where("trim(line) <> ''").select("doc_id", "line_no", _words("line").alias("w"))
 
+def _levels(docs: DataFrame) -> list[int]:
+    """The frequency level (0 to 127) of each bucket of words.
 
-def _levels(docs: DataFrame) -> Column:
-    """An array constant: the frequency level (0 to 127) of each bucket."""
-    counts = (
-        docs.select(F.explode(F.split(F.replace(plain_blanks("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-        .where("w != ''")
-        .select((F.xxhash64(F.lower("w")).bitwiseAND(BUCKETS - 1)).cast("int").alias("b"))
-        .groupBy("b")
-        .count()
-    )
+    The empty word between two blanks is counted too; no line has it.
+    """
+    words = F.split(F.lower(F.replace(plain_blanks("text"), F.lit("\n"), F.lit(" "))), " ")
+    counts = docs.select(F.explode(words).alias("w")).select((F.xxhash64("w").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
     for b, n in counts.collect():  # BUCKETS rows at most
         levels[b] = min(127, int(math.log2(n + 1) * 2.5))
-    return F.from_json(F.lit(json.dumps(levels)), "array<int>")
-
+    return levels
 
-def _with_keys(lines: DataFrame, levels: Column) -> DataFrame:
-    """Adds k: the words' keys, rare words first, each once."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.coalesce(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def _array(values: list[int], kind: str) -> Column:
+    """An array constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
-    return lines.withColumn("k", F.sort_array(F.array_distinct(F.transform("w", key)))).drop("w")
 
+def _sets(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """doc_id, line_no (from 0), and of its word set: n, sig, bits and more, prefix; for
+    all lines that have words.
 
-def _postings(keyed: DataFrame, percent: int) -> DataFrame:
-    """One row for each prefix word of each line.
-
-    A line so short that only an equal set is similar enough has one posting,
-    under the hash of its set.
+    A prefix holds the keys (level, then hash) of the rarest words, as many as
+    the filter asks for; none, if only an equal set is similar enough.
     """
+    lines = docs.select("doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    hashes = F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    low = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56)
+    keys = F.sort_array(F.transform(hashes, lambda h: low(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
     need = f"((({percent} * n) + 99) div 100)"
     # n words can match n + 1 words only if 100 n >= percent (n + 1)
     alone = f"(100 * n < {percent} * (n + 1))"
     return (
-        keyed.withColumn("n", F.size("k"))
-        .withColumns(
-            {
-                "bits": F.expr("coalesce(aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a ^ shiftleft(1L, cast(x & 63 as int)), a)), 0L)"),
-                "more": F.expr("coalesce(aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int)))), 0L)"),
-                "sig": F.xxhash64("k"),
-            }
-        )
+        lines.select("doc_id", "line_no", keys.alias("k"))
+        .select("doc_id", "line_no", "k", F.size("k").alias("n"))
         .select(
             "doc_id",
             "line_no",
             "n",
-            "bits",
-            "more",
-            "sig",
-            F.posexplode(F.expr(f"if({alone}, array(sig), slice(k, 1, cast(n - {need} + 1 as int)))")).alias("pos", "token"),
+            F.xxhash64("k").alias("sig"),
+            F.expr("aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a ^ shiftleft(1L, cast(x & 63 as int)), a))").alias("bits"),
+            F.expr("aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int))))").alias("more"),
+            F.expr(f"if({alone}, slice(k, 1, 0), slice(k, 1, cast(n - {need} + 1 as int)))").alias("prefix"),
         )
     )
 
 
-def _near(x: str, y: str, percent: int) -> str:
-    """SQL: may the lines x and y (y earlier), met at one shared word, be similar?"""
-    overlap = f"((({percent} * ({x}.n + {y}.n)) + {99 + percent}) div {100 + percent})"
-    return (
-        f"({percent} * {x}.n <= 100 * {y}.n and {percent} * {y}.n <= 100 * {x}.n"
-        f" and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {overlap}"
-        f" and bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more) <= {x}.n + {y}.n - 2 * {overlap})"
-    )
-
+def _classes(sets: DataFrame) -> DataFrame:
+    """sig, n, bits, more, prefix, at: one row for each word set, with its first line."""
+    return sets.groupBy("sig", "n", "bits", "more", "prefix").agg(F.min(F.expr(_PLACE)).alias("at"))
 
-def _before(y: str, x: str) -> str:
-    return f"({y}.doc_id < {x}.doc_id or ({y}.doc_id = {x}.doc_id and {y}.line_no < {x}.line_no))"
 
+def _far(x: str, y: str) -> str:
+    return f"(bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more))"
 
-_PAIR = "named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y.doc_id, 'yl', y.line_no) as p"
 
-
-def _meet(postings: DataFrame, percent: int) -> DataFrame:
-    """Two kinds of rows: p, a candidate pair with one of a group's leaders;
-    h, a posting of a group that has more lines than leaders."""
-    group = Window.partitionBy("token")
-    order = group.orderBy("doc_id", "line_no")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row = F.struct("doc_id", "line_no", "n", "pos", "bits", "more")
-    met = postings.select(
-        "token",
-        row.alias("x"),
-        F.row_number().over(order).alias("at"),
-        F.count(F.lit(1)).over(whole).alias("many"),
-        *[F.nth_value(row, i + 1).over(whole).alias(f"y{i}") for i in range(LEADERS)],
-    ).where("many > 1")
-    pairs = [
-        F.expr(
-            f"if(at > {i + 1} and {_before(f'y{i}', 'x')} and {_near('x', f'y{i}', percent)}, "
-            f"named_struct('p', named_struct('xd', x.doc_id, 'xl', x.line_no, 'yd', y{i}.doc_id, 'yl', y{i}.line_no, 'far', bit_count(x.bits ^ y{i}.bits) + bit_count(x.more ^ y{i}.more)), 'h', cast(null as struct<at: int, token: bigint>)), null)"
-        )
-        for i in range(LEADERS)
-    ]
-    hot = F.expr(
-        f"if(many > {LEADERS}, named_struct('p', cast(null as struct<xd: bigint, xl: int, yd: bigint, yl: int, far: int>), "
-        "'h', named_struct('at', at, 'token', token)), null)"
-    )
-    return met.select("x", F.explode(F.array_compact(F.array(*pairs, hot))).alias("r")).select(
-        "r.p", F.expr("if(r.h is null, null, named_struct('at', r.h.at, 'token', r.h.token, 'doc_id', x.doc_id, 'line_no', x.line_no, 'n', x.n, 'pos', x.pos, 'bits', x.bits, 'more', x.more))").alias("h")
+def _near(x: str, y: str, percent: int) -> str:
+    """SQL: may the sets x and y, met at one shared word, be similar?  They are
+    if they share p / (100 + p) of the sum of their sizes, rounded up."""
+    both, whole = f"({x}.n + {y}.n)", 100 + percent
+    overlap = f"((({percent} * {both}) + {whole - 1}) div {whole})"
+    return (
+        f"({whole} * {_far(x, y)} <= {100 - percent} * {both} and {percent} * {x}.n <= 100 * {y}.n and {percent} * {y}.n <= 100 * {x}.n"
+        f" and {whole} * least({x}.n - {x}.pos, {y}.n - if({y}.pos < 0, -1 - {y}.pos, {y}.pos)) >= {percent} * {both}"
+        f" and {_far(x, y)} <= {both} - 2 * {overlap})"
     )
 
 
-def _involved(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of all lines: doc_id, line_no of those that repeat an earlier line's word
-    set; doc_id, sig of one line for each set that another set may be similar to.
+def _postings(classes: DataFrame) -> DataFrame:
+    """key, sig, n, bits, more, pos: one row for each prefix word of a class.
 
-    Both come from one shuffle of the postings by word.  The second is a
-    semi-join: however large a family of similar lines is, each of its sets
-    makes one row for each prefix word at most.
+    A word above HOT occurrences has its postings dealt to several keys by
+    class; under the other keys of the word each is there to be met only, with
+    the negative position -1 - pos.  Two words under one key cost only speed.
+    """
+    parts = [max(1, math.ceil(2 ** (level / 2.5) / HOT)) for level in range(128)]
+    hot = next(level for level, n in enumerate(parts) if n > 1)
+    facts = ("sig", "n", "bits", "more")
+    # never null, which keeps filters for it from going below one of two equal shuffles
+    classes = classes.select("prefix", *[F.coalesce(c, F.lit(0).cast("int" if c == "n" else "long")).alias(c) for c in facts])
+    level = F.shiftrightunsigned("token", 56).cast("int")
+    plain = classes.select(*facts, F.posexplode("prefix").alias("pos", "token")).where(level < hot).select(F.coalesce("token", F.lit(0)).alias("key"), *facts, "pos")
+    many = classes.where(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= hot)
+    many = many.select(*facts, F.posexplode("prefix").alias("pos", "token")).where(level >= hot).withColumn("parts", F.get(_array(parts, "bigint"), level))
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return plain.union(many.select(F.xxhash64("token", "salt").alias("key"), *facts, F.expr("if(pmod(sig, parts) = salt, pos, -1 - pos)")))
+
+
+def _involved(classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that another class may be similar to."""
+    spark = classes.sparkSession
+    total = classes.agg(F.sum(F.expr(f"n - (({percent} * n) + 99) div 100 + 1"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
+    # Both sides need all columns, and a condition with rand() does not slip
+    # below the shuffle, so that Spark runs it once.
+    dealt = _postings(classes.where("size(prefix) > 0")).repartition(parts, "key")
+    own = dealt.where("if(pos >= 0, 0, 2) < 1 + rand()")
+    met = own.alias("x").join(dealt.alias("y").hint("merge"), F.expr(f"x.key = y.key and x.sig <> y.sig and {_near('x', 'y', percent)}"), "left_semi")
+    return classes.join(met.select("sig").distinct(), "sig", "left_semi")
+
+
+def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """at, w: the distinct words of each class's first line.
+
+    Rows that repeat a doc_id may have other lines at its place; the hash of the
+    set tells which is meant.
     """
-    # All three uses need all columns, and no filter slips below the shuffle, so
-    # that Spark runs it once.
-    dealt = postings.repartition("token")
-    again = (
-        dealt.where("pos + cast(rand() * 0 as int) = 0")
-        .withColumn("at", F.rank().over(Window.partitionBy("token", "sig", "n", "bits", "more").orderBy("doc_id", "line_no")))
-        .where("at > 1")
+    places = classes.groupBy(F.expr(_DOC_ID.format("at")).alias("id")).agg(F.collect_set(F.expr(_LINE_NO.format("at"))).alias("places"))
+    here = docs.where(id_filter(places.select(F.col("id").alias("doc_id")))).join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+    lines = here.select("doc_id", "places", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line"))
+    chosen = lines.where(F.array_contains("places", F.col("line_no")))
+    words = F.array_remove(F.array_distinct(_words("line")), "")
+    return chosen.select(F.expr(_PLACE).alias("at"), words.alias("w")).where("size(w) > 0").distinct()
+
+
+def _verify(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """x of the pairs (x, y) of places whose whole word sets are similar enough."""
+    a, b = words.select(F.col("at").alias("x"), F.col("w").alias("a")), words.select(F.col("at").alias("y"), F.col("w").alias("b"))
+    both = pairs.select("x", "y").join(b, "y").join(a, "x").withColumn("i", F.size(F.array_intersect("a", "b")))
+    return both.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("x").distinct()
+
+
+def _redundant(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """x: the places of classes' first lines to which an earlier line is similar."""
+    near = cut(_involved(classes, percent), "lines-near")
+    words = cut(_fetch(docs, near), "lines-words")
+    group = near.select("at", "n", "bits", "more", F.posexplode("prefix").alias("pos", "token"))
+    order = Window.partitionBy("token").orderBy("at")
+    first = group.withColumn("rank", F.row_number().over(order)).where(f"rank <= {LEADERS}").drop("rank")
+    meet = lambda x, y: x.alias("x").join(y.alias("y"), F.expr(f"x.token = y.token and y.at < x.at and {_near('x', 'y', percent)}")).select(
+        F.col("x.at").alias("x"), F.col("y.at").alias("y"), F.expr(_far("x", "y")).alias("far")
     )
-    sets = dealt.groupBy("token", "sig", "n", "pos", "bits", "more").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
-    x, y = sets.alias("x"), sets.alias("y")
-    near = x.join(y, F.expr(f"x.token = y.token and x.sig <> y.sig and {_near('x', 'y', percent)} and (y.line_no >= 0 or y.doc_id is null)"), "left_semi")
-    rows = again.select("doc_id", "line_no", F.lit(None).cast("long").alias("sig")).union(near.select("doc_id", "line_no", "sig"))
-    rows = cut(rows, "lines-involved")
-    return rows.where("sig is null").select("doc_id", "line_no"), rows.where("sig is not null").select("doc_id", "sig").distinct()
-
-
-def _fetch(docs: DataFrame, levels: Column, wanted: DataFrame) -> DataFrame:
-    """doc_id, line_no, k, sig: the first line of each wanted set, with its words."""
-    sigs = wanted.groupBy("doc_id").agg(F.collect_set("sig").alias("sigs"))
-    near = docs.where(id_filter(sigs)).join(sigs.hint("shuffle_hash"), "doc_id")
-    lines = near.select("doc_id", "sigs", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    keyed = _with_keys(lines.select("doc_id", "sigs", "line_no", _words("line").alias("w")), levels).withColumn("sig", F.xxhash64("k"))
-    found = keyed.where(F.array_contains("sigs", F.col("sig"))).drop("sigs")
-    return found.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy("line_no"))).where("at = 1").drop("at")
-
-
-def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """xd, xl of the pairs whose whole word sets are similar enough."""
-    a = sets.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("k").alias("xk"))
-    b = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yl"), F.col("k").alias("yk"))
-    both = pairs.join(b, ["yd", "yl"]).join(a, ["xd", "xl"]).withColumn("i", F.size(F.array_intersect("xk", "yk")))
-    return both.where(f"100 * i >= {percent} * (size(xk) + size(yk) - i)").select("xd", "xl").distinct()
+    nearest = lambda pairs: pairs.groupBy("x").agg(F.min_by("y", "far").alias("y"))
+    found: DataFrame | None = None
+    for pairs in (lambda x: nearest(meet(x, first)), lambda x: nearest(meet(x, group)), lambda x: meet(x, group).select("x", "y").distinct()):
+        left = group if found is None else group.join(found, F.col("at") == F.col("x"), "left_anti")
+        more = cut(_verify(words, pairs(left), percent), "lines-similar")
+        found = more if found is None else found.union(more)
+    out = cut(found, "lines-redundant")
+    discard(near, words)
+    return out
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no of every line that an earlier similar line makes redundant."""
     need_columns(docs, "doc_id", "text")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text").where("text is not null")
-    levels = _levels(docs)
-    same, near = _involved(_postings(_with_keys(_lines(docs), levels), percent), percent)
-    discard(near.limit(0))
-    sets = cut(_fetch(docs, levels, near), "lines-sets")
-    met = cut(_meet(_postings(sets.drop("sig"), percent), percent), "lines-met")
-    tried = met.where("p is not null").select("p.*")
-    # the likeliest partner of each line first; the others only where it fails
-    likely = tried.groupBy("xd", "xl").agg(F.min(F.struct("far", "yd", "yl")).alias("m")).select("xd", "xl", "m.yd", "m.yl")
-    found = [cut(_verify(sets, likely, percent), "lines-near")]
-    discard(found[0].limit(0))
-    others = tried.join(found[0], ["xd", "xl"], "left_anti").select("xd", "xl", "yd", "yl").distinct().exceptAll(likely)
-    found.append(cut(_verify(sets, others, percent), "lines-near"))
-    discard(found[0].limit(0))
-    hot = met.where("h is not null").select("h.*")
-    for low, high in zip(ROUNDS, ROUNDS[1:]):
-        if hot.where(f"at > {low}").isEmpty():
-            break
-        settled = _all(found)
-        x = hot.where(f"at > {low + 1}").join(settled, (F.col("doc_id") == F.col("xd")) & (F.col("line_no") == F.col("xl")), "left_anti")
-        y = hot.where(f"at > {low}" + (f" and at <= {high}" if high else ""))
-        on = f"x.token = y.token and y.at < x.at and {_before('y', 'x')} and {_near('x', 'y', percent)}"
-        more = x.alias("x").join(y.alias("y"), F.expr(on)).select(F.expr(_PAIR)).select("p.*").distinct()
-        found.append(cut(_verify(sets, more, percent), "lines-near"))
-    gone = _all(found).select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no"))
-    out = cut(same.union(gone).distinct(), "lines-removed")
-    discard(met, sets, *found)
-    return out
+    marks = _marks(docs, percent)
+    lines = _keyed(docs).select("doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    kept = marks.select(F.col("__id").alias("doc_id"), F.explode("__keep").alias("line_no"))
+    return lines.select("doc_id", "line_no").distinct().join(kept, ["doc_id", "line_no"], "left_anti")
+
+
+def _marks(docs: DataFrame, percent: int) -> DataFrame:
+    """__id, __keep: the line numbers with words that stay of each doc_id."""
+    docs = _keyed(docs)
+    sets = _sets(docs, _array(_levels(docs), "int"), percent)
+    classes = cut(_classes(sets), "lines-classes")
+    gone = _redundant(docs, classes, percent).select(F.col("x").alias("at"))
+    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():  # a place that goes, goes from all rows of its doc_id
+        mine = sets.join(twice, "doc_id", "left_semi").select("sig", F.expr(_PLACE).alias("at")).distinct()
+        gone = gone.union(mine.join(classes, ["sig", "at"], "left_anti").select("at"))
+    line_no = F.expr(_LINE_NO.format("at"))
+    marks = classes.select("at", line_no.alias("m")).union(gone.select("at", -1 - line_no))
+    lists = marks.groupBy(F.expr(_DOC_ID.format("at")).alias("__id")).agg(F.collect_list("m").alias("m"))
+    return lists.select("__id", F.expr("array_except(filter(m, i -> i >= 0), transform(filter(m, i -> i < 0), i -> -1 - i))").alias("__keep"))
+
+
+def _stripped(docs: DataFrame, percent: int) -> DataFrame:
+    """r (the whole row), text (what stays), n_lines, n_removed."""
+    need_columns(docs, "doc_id", "text")
+    marks = _marks(docs, percent)
+    rows = docs.select(F.struct("*").alias("r"))
+    key = F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_NO_ID))
+    joined = rows.join(marks.hint("shuffle_hash"), key == F.col("__id"), "left")
+    lines = joined.select("r", F.coalesce("__keep", F.expr("cast(array() as array<int>)")).alias("keep"), F.split(F.col("r.text"), "\n").alias("ls"))
+    # maps are merged by hashed keys, so that long documents take linear time
+    kept = F.expr(
+        "array_compact(map_values(map_zip_with(map_from_arrays(sequence(0, size(ls) - 1), ls), map_from_arrays(keep, keep),"
+        " (i, l, k) -> if(k is not null or not rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]'), l, null))))"
+    )
+    return lines.select("r", "ls", F.when(F.col("ls").isNotNull(), kept).alias("kept")).select(
+        "r",
+        F.array_join("kept", "\n").alias("text"),
+        F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).cast("long").alias("n_lines"),
+        F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls") - F.size("kept")).cast("long").alias("n_removed"),
+    )
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+def _columns(docs: DataFrame, *but: str) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("r").getField(c).alias(c) for c in docs.columns if c not in but]
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the redundant lines taken out of ``text``, and n_lines and
-    n_removed added (other columns, of any name, stay as they are).
+    n_removed added; columns of these two names are replaced, all others, of any
+    name, stay as they are.
 
     Lines are what line feeds part; a line without a word always stays.  A null
     text stays null and has no lines; an empty text has one, without words.  A
     document that loses all its lines stays, with an empty text.  A null doc_id
     comes last in the order.  Rows that repeat a doc_id share its line numbers:
     lines at the same place of the same doc_id are not each other's earlier
-    line, and a place that goes goes from all of them.
+    line, and a place that goes goes from all of them.  An empty table gives an
+    empty table; a text of any length is one document.
     """
-    gone = removed_lines(docs, percent).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.withColumn("__key", key).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.when(
-        F.col("__gone").isNull(), F.col("text")
-    ).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n"))
-    return joined.select(
-        *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    )
+    return _stripped(docs, percent).select(*_columns(docs, "n_lines", "n_removed"), "n_lines", "n_removed")
+
+
+def drop_redundant(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs``, with its columns only, without redundant lines and without the
+    documents of which no line with a word is left; what had no word stays."""
+    had = F.col("n_removed") > 0
+    left = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    return _stripped(docs, percent).where(F.coalesce(~had | left, F.lit(True))).select(*_columns(docs))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

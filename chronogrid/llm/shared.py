@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import json
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bits of the map that keeps documents without candidates out of a shuffle.
 FILTER_BITS = 1 << 23
+#: Setting: remove the shuffle files of an SQL execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_root: list[str] = []
 
 
@@ -50,6 +52,18 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Spark removes that job's shuffle files at its
+    end; the session's setting is as before afterwards."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -58,22 +72,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete cut tables that no later step reads, and let Spark's cleaner drop
-    the shuffle files of finished steps (it follows the JVM's garbage)."""
+    """Delete cut tables that no later step reads."""
     for t in tables:
         if getattr(t, "_scratch", None):
             drop(t.sparkSession, t._scratch)
-    for _ in range(3 if tables else 0):  # the plans go first, then what they held
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
-        time.sleep(0.8)
 
 
 def plain_blanks(text: Column | str) -> Column:
