@@ -4,11 +4,13 @@ Nearness is the inner product.  With one more component, sqrt(M^2 - |x|^2) for
 the largest norm M (queries have 0 there), its order is that of Euclidean
 distance: |q|^2 + M^2 - 2 q.x.
 
-Vectors are rotated at random and stored in lists by nearest centroid; k-means
-is fitted on a bounded sample, and every vector is assigned.  A query probes the
-lists with the nearest centroids; how many, is measured on a bounded sample of
-queries whose true neighbours are found by brute force.  Within a list the rotated columns are read in
-blocks: after each block a hypothesis test on the partial distance abandons the
+Vectors are rotated at random and stored, in blocks of columns, in lists by
+nearest centroid; k-means is fitted on a bounded sample, and every vector is
+assigned.  A query probes the lists with the nearest centroids; how many, is
+measured on a bounded sample of queries whose true neighbours are found by brute
+force.  The nearest of these lists, as few as hold LEAST candidates, are scanned
+first; they bound the k-th best for the scan of the others.  Within a list one
+block is read after the other: after each block a hypothesis test on the partial distance abandons the
 candidates that are, with high confidence, farther than the best k so far (a
 partial distance over d of D random directions, scaled by D / d, exceeds the
 true one by more than 1 + EPSILON / sqrt(d) only rarely).  What is left is
@@ -39,12 +41,10 @@ PER_LIST, MOST_LISTS = 2000, 16384
 TARGET, TRIALS, LEAST = 0.98, 96, 1500
 #: Vectors of a part of a list.
 PART = 4096
-#: One vector in so many sets a query's first bound.
-FIRST = 8
 #: Rows that are tested together.
 GROUP = 2048
-#: Columns of a block; confidence of the test.
-BLOCK, EPSILON = 16, 2.1
+#: Columns of a block; confidence of the test; what single precision may be off.
+BLOCK, EPSILON, SINGLE = 16, 2.1, 1e-5
 #: Share of rows that ask: every vec_id divisible by this.
 ASK = 20
 
@@ -72,25 +72,27 @@ def assign(x: np.ndarray, c: np.ndarray, probes: int = 1) -> np.ndarray:
     return out
 
 
-def scan(query: np.ndarray, rows: np.ndarray, k: int, bound: float) -> np.ndarray:
+def scan(query: np.ndarray, blocks: list[np.ndarray], k: int, bound: float, off: float = 0.0) -> np.ndarray:
     """The rows that may be among the k nearest and within ``bound`` (a squared
-    distance), by adaptive dimension scan.
+    distance), by adaptive dimension scan; ``off`` is what squared distances may
+    be off.
 
-    Rows come in groups, each read block by block and tested after each; the k
-    best so far tighten the bound for the next group.
+    ``blocks`` hold the columns of all rows, block by block.  Rows come in
+    groups, each read block by block and tested after each; the k best so far
+    tighten the bound for the next group.
     """
-    dims = rows.shape[1]
+    dims = sum(b.shape[1] for b in blocks)
     near = np.full(k, bound)
     kept = [np.zeros(0, np.int64)]
-    for start in range(0, len(rows), GROUP):
-        alive = np.arange(start, min(start + GROUP, len(rows)))
-        part = np.zeros(len(alive))
-        for d in range(0, dims, BLOCK):
-            block = rows[alive, d : d + BLOCK] - query[d : d + BLOCK]
+    for start in range(0, len(blocks[0]), GROUP):
+        alive = np.arange(start, min(start + GROUP, len(blocks[0])))
+        part, seen = np.zeros(len(alive)), 0
+        for b in blocks:
+            block = b[alive] - query[seen : seen + b.shape[1]]
             part = part + np.einsum("ij,ij->i", block, block)
-            seen = min(d + BLOCK, dims)
+            seen += b.shape[1]
             slack = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dims else 1 + 1e-9
-            stay = part * (dims / seen) <= near[-1] * slack + 1e-12
+            stay = part * (dims / seen) <= near[-1] * slack + off + 1e-12
             alive, part = alive[stay], part[stay]
         kept.append(alive)
         near = np.sort(np.concatenate((near, part)))[:k]
@@ -102,7 +104,7 @@ def _probes(placed: DataFrame, asking: DataFrame, k: int, order) -> int:
     trials = asking.orderBy(F.xxhash64("vec_id", F.lit(4))).limit(TRIALS).toPandas()
     if not len(trials):
         return 1
-    who, q = trials["vec_id"].to_numpy(np.int64), np.stack(trials["v"].to_numpy())
+    who, q = trials["vec_id"].to_numpy(np.int64), np.stack(trials["v"].to_numpy()).astype(np.float64)
     shared = placed.sparkSession.sparkContext.broadcast((who, q))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +137,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark)
     rows = cut(usable(vectors, zero=False), "ann-vectors")
-    total, norm, dims = rows.agg(F.count(F.lit(1)), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.max(F.size("v"))).first()
+    total, norm, dims = rows.agg(F.count(F.lit(1)), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + cast(x as double) * x)")), F.max(F.size("v"))).first()
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    norm *= 1 + 1e-12
     share = min(1.0, SAMPLE / total)
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) < max(int(share * (1 << 30)), 1)).select("vec_id", "v").toPandas().sort_values("vec_id")
-    seen = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((1, dims))
+    seen = np.stack(sample["v"].to_numpy()).astype(np.float64) if len(sample) else np.zeros((1, dims))
     turn = np.linalg.qr(np.random.default_rng(17).normal(size=(dims + 1, dims + 1)))[0]
 
     def lifted(x: np.ndarray, data: bool) -> np.ndarray:
@@ -150,12 +153,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     lists = int(min(MOST_LISTS, max(1, total // PER_LIST)))
     centers = spark.sparkContext.broadcast(kmeans(lifted(seen, True), lists))
 
+    edges = list(range(0, dims + 1, BLOCK))
+    names = [f"b{i}" for i in range(len(edges))]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = assign(lifted(matrix(b.column(1)), True), centers.value)[:, 0] if len(b) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["vec_id", "v", "list"])
-
-    placed = cut(rows.mapInArrow(place, "vec_id bigint, v array<double>, list bigint"), "ann-lists")
+            turned = lifted(matrix(b.column(1)), True) if len(b) else np.zeros((0, dims + 1))
+            near = assign(turned, centers.value)[:, 0] if len(b) else np.zeros(0, np.int64)
+            blocks = [turned[:, i : i + BLOCK].astype(np.float32) for i in edges]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in blocks]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near), *lists], names=["vec_id", "v", "list", *names])
+
+    vector = dict(rows.dtypes)["v"]
+    stored = "".join(f", {n} array<float>" for n in names)
+    placed = cut(rows.mapInArrow(place, f"vec_id bigint, v {vector}, list bigint{stored}"), "ann-lists")
     sizes = np.zeros(len(centers.value), np.int64)
     for r in placed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
@@ -164,41 +175,41 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     wanted = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     asking = rows.join(wanted, "vec_id", "left_semi")
     probes = _probes(placed, asking, k, lambda q: assign(lifted(q, False), centers.value, len(centers.value)))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centers.value
-        for b in batches:
-            order = assign(lifted(matrix(b.column(1)), False), c, len(c)) if len(b) else np.zeros((0, len(c)), np.int64)
-            who, where, part = [], [], []
-            for i, lists in enumerate(order):
-                need = int(np.searchsorted(np.cumsum(sizes[lists]), LEAST)) + 1
-                for x in lists[: max(probes, need)]:
-                    n = int(parts[x]) if sizes[x] else 0
-                    who += [i] * n
-                    where += [x] * n
-                    part += range(n)
-            at = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(where, pa.int64()), pa.array(part, pa.int64())], names=["query_id", "q", "list", "part"])
+    least = max(LEAST, 2 * (k + 1))
+
+    def probe(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = centers.value
+            for b in batches:
+                order = assign(lifted(matrix(b.column(1)), False), c, len(c)) if len(b) else np.zeros((0, len(c)), np.int64)
+                who, where, part = [], [], []
+                for i, lists in enumerate(order):
+                    need = int(np.searchsorted(np.cumsum(sizes[lists]), least)) + 1
+                    for x in lists[:need] if first else lists[need : max(probes, need)]:
+                        n = int(parts[x]) if sizes[x] else 0
+                        who += [i] * n
+                        where += [x] * n
+                        part += range(n)
+                at = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(where, pa.int64()), pa.array(part, pa.int64())], names=["query_id", "q", "list", "part"])
+
+        return run
 
     count = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(parts) if n > 1] or [(-1, 1)], "list bigint, n bigint")
-    dealt = placed.join(F.broadcast(count), "list", "left").select("list", F.pmod(F.xxhash64("vec_id"), F.coalesce("n", F.lit(1))).alias("part"), "vec_id", "v")
-    asked = asking.mapInArrow(probe, "query_id bigint, q array<double>, list bigint, part bigint")
-
+    dealt = placed.join(F.broadcast(count), "list", "left").select("list", F.pmod(F.xxhash64("vec_id"), F.coalesce("n", F.lit(1))).alias("part"), "vec_id", "v", *names)
     kind = "query_id bigint, vec_id bigint, score double"
 
     def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, ids = matrix(left["v"]), left["vec_id"].to_numpy()
-        q, who = matrix(right["q"]), right["query_id"].to_numpy()
+        ids, who = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(ids) and len(who):
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            turned, asks = lifted(x, True), lifted(q, False)
-            least = right["least"].to_numpy()
+            x, q, blocks = matrix(left["v"]), matrix(right["q"]), [matrix(left[n]).astype(np.float32) for n in names]
+            asks, least = lifted(q, False), right["least"].to_numpy()
             for i in range(len(who)):
                 low = -np.inf if np.isnan(least[i]) else least[i]
-                bound = (q[i] * q[i]).sum() + norm - 2 * low
-                near = scan(asks[i], turned, k + 1, bound * (1 + 1e-9) + 1e-9)
+                size = (q[i] * q[i]).sum() + norm
+                own = int((ids == who[i]).sum())
+                near = scan(asks[i].astype(np.float32), blocks, k + own, (size - 2 * low) * (1 + 1e-9) + 1e-9, 4 * SINGLE * size)
                 near = near[ids[near] != who[i]]
                 scores = (x[near] * q[i]).sum(axis=1)
                 near, scores = near[scores >= low], scores[scores >= low]
@@ -208,17 +219,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 out[2].append(scores[pick])
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
-    # A bound for each query from one vector in FIRST, whatever the list; with it,
-    # a query's lists return about FIRST * k rows together, however many they are.
-    few = placed.where(F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(FIRST)) == 0)
-    n = max(1, -(-few.count() // PART))
-    few = few.select(F.lit(0).cast("long").alias("list"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"), "vec_id", "v")
-    open_asks = asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(0).cast("long").alias("list"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), F.lit(None).cast("double").alias("least"))
-    first = cut(best(few.groupBy("list", "part").cogroup(open_asks.groupBy("list", "part")).applyInArrow(look, kind), k), "ann-first")
-    least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    asked = asked.join(least, "query_id", "left")
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(look, kind)
-    return best(found.union(first.select(*found.columns)).distinct(), k)
+    def visit(first: bool, bounds: DataFrame | None) -> DataFrame:
+        asked = asking.mapInArrow(probe(first), f"query_id bigint, q {vector}, list bigint, part bigint")
+        asked = asked.join(bounds, "query_id", "left") if bounds else asked.withColumn("least", F.lit(None).cast("double"))
+        return dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(look, kind)
+
+    home = cut(best(visit(True, None), k), "ann-first")
+    bounds = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    return best(home.select("query_id", "vec_id", "score").union(visit(False, bounds)), k)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
