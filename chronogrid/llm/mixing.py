@@ -6,48 +6,50 @@ token-weighted relative entropy, that meet all targets:
     minimise  sum_d size_d (r_d log r_d - r_d + 1)
     subject to  sum_{d in s} size_d r_d = target_s  for every source s.
 
-The dual is convex, sum_s size_s exp(l_s) - l_s target_s, and its solution
-gives the exponentially tilted rates r_d = exp(l_{s(d)}).  Its gradient and
-Hessian are sums over documents; as every constraint is on the tokens of one
-source, the Hessian is diagonal and the per-source token sums are sufficient
-statistics.  So the documents are aggregated once, and all sources take their
-Newton steps side by side as expressions over the distributed source table.
+The dual is convex, sum_d size_d exp(l_{s(d)}) - sum_s l_s target_s, and its
+solution gives the exponentially tilted rates r_d = exp(l_{s(d)}).  Each Newton
+step tilts all documents by the multipliers so far and sums gradient and Hessian
+over them, next to each source; as every constraint is on the tokens of one
+source, the Hessian is diagonal.  Documents of one source and size are tilted
+alike, so that they take the sums as one row with their number.  Steps go on
+until every constraint holds to ``EXACT``.
 
 Rates become whole copies: floor(r), and one more for some documents.  Which,
 is decided per document size from large to small with the error carried over,
 so that a source misses its target by about half of its smallest document.
-Documents of one size are ordered by a hash of doc_id, in salted groups.
+Long lists of sizes are decided in blocks; the blocks' errors go to the block of
+the smallest sizes.  Documents of one size are ordered by a hash of doc_id, in
+salted groups.
 
 Everything is DataFrame expressions; no Python runs on executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, discard, need_columns, plain_blanks
 
 #: A source's target, and a document's copies, stop at this many times its size.
 CAP = 3
-#: Newton steps; the steps left of the solution are at least 1 long, right of it quadratic.
-STEPS = 80
-#: Parts of a group of equally long documents of a source.
-SALTS = 64
+#: Relative error of a constraint at which the steps end; steps that always suffice.
+EXACT, MOST_STEPS = 1e-12, 800
+#: Parts of a group of equally long documents of a source; sizes decided together.
+SALTS, BLOCK = 512, 256
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """Adds __size, the number of words, and __s, a key for source (null: its own)."""
-    words = F.array_remove(F.split(F.replace(plain_blanks("text"), F.lit("\n"), F.lit(" ")), " "), "")
-    return docs.withColumns(
-        {
-            "__size": F.when(F.col("text").isNull(), 0).otherwise(F.size(words)).cast("long"),
-            "__s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-        }
-    )
+def _size(text: str) -> Column:
+    words = F.array_remove(F.split(F.replace(plain_blanks(text), F.lit("\n"), F.lit(" ")), " "), "")
+    return F.when(F.col(text).isNull(), 0).otherwise(F.size(words)).cast("long")
+
+
+def _source(source: str) -> Column:
+    """A key for a source; null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
 
 
-def source_targets(sized: DataFrame) -> DataFrame:
+def source_targets(levels: DataFrame) -> DataFrame:
     """__s, source_size, weight, target: one row for each source.
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating.  The sum
@@ -58,8 +60,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
     """
     one = Window.orderBy(F.col("__s") == "n", "__s")
     sources = (
-        sized.groupBy("__s")
-        .agg(F.sum("__size").alias("source_size"))
+        levels.groupBy("__s")
+        .agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
         .withColumn("weight", (F.pmod(F.row_number().over(one) - 1, F.lit(3)) + 1).cast("double"))
         .withColumn("stop", (F.col("source_size") * CAP).cast("double"))
     )
@@ -80,31 +82,52 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def balance(targets: DataFrame) -> DataFrame:
-    """Adds rate: exp of the dual solution, found by Newton steps from 0."""
-    ratio = "(target / source_size)"
-    solved = f"aggregate(sequence(1, {STEPS}), 0D, (l, i) -> l - 1 + {ratio} * exp(-l))"
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(F.expr(solved))).otherwise(0.0)
+def balance(levels: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with rate: exp of the dual solution, by Newton steps from 0.
+
+    ``levels`` holds __s, __size, n: how many documents of a source have a size.
+    """
+    live = (F.col("source_size") > 0) & (F.col("target") > 0)
+    now = cut(targets.where(live).select("__s", "target", F.lit(0.0).alias("l")), "mix-dual")
+    for _ in range(MOST_STEPS):
+        tilted = levels.join(now, "__s").select("__s", (F.col("__size") * F.col("n") * F.exp("l")).alias("mass"))
+        sums = tilted.groupBy("__s").agg(F.sum("mass").alias("hessian"))
+        step = now.join(sums, "__s").withColumn("gradient", F.col("hessian") - F.col("target"))
+        new = cut(step.select("__s", "target", (F.col("l") - F.col("gradient") / F.col("hessian")).alias("l"), (F.abs("gradient") / F.col("target")).alias("off")), "mix-dual")
+        off = new.agg(F.max("off")).first()[0]
+        discard(now)
+        now = new
+        if off is None or off <= EXACT:
+            break
+    else:
+        raise ArithmeticError("the dual steps did not settle")
+    rate = F.exp("l")
     whole = F.round(rate)
-    return targets.withColumn("rate", F.least(F.when(F.abs(rate - whole) < 1e-9, whole).otherwise(rate), F.lit(float(CAP))))
+    rate = F.least(F.when(F.abs(rate - whole) < 1e-9, whole).otherwise(rate), F.lit(float(CAP)))
+    return targets.join(now.select("__s", "l"), "__s", "left").withColumn("rate", F.coalesce(rate, F.lit(0.0))).drop("l")
+
+
+def _fold(start: str) -> str:
+    """SQL: of the sizes ls, from large to small, how many documents get one more,
+    and the error that is left, from the error ``start``."""
+    k = "if(x.v = 0, 0L, greatest(0L, least(x.n, cast(floor((a.e + f * x.v * x.n) / x.v + 0.5) as bigint))))"
+    return f"aggregate(ls, named_struct('e', {start}, 'ks', cast(array() as array<bigint>)), (a, x) -> named_struct('e', a.e + f * x.v * x.n - x.v * {k}, 'ks', concat(a.ks, array({k}))))"
 
 
-def _extra(sized: DataFrame, rates: DataFrame) -> DataFrame:
+def _extra(sized: DataFrame, levels: DataFrame, rates: DataFrame) -> DataFrame:
     """__s, __size, salt, base, k: of the documents there, k get base + 1 copies."""
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")
     parts = sized.groupBy("__s", "__size", salt).count()
-    levels = parts.groupBy("__s", "__size").agg(F.sum("count").alias("n"))
-    # one array element for each distinct size of a source
-    arrays = levels.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct(F.col("__size").alias("v"), "n")), asc=False).alias("ls"))
-    fold = """
-      aggregate(ls, named_struct('e', 0D, 'ks', cast(array() as array<bigint>)), (a, x) -> named_struct(
-        'e', a.e + f * x.v * x.n - x.v * if(x.v = 0, 0L, greatest(0L, least(x.n, cast(floor((a.e + f * x.v * x.n) / x.v + 0.5) as bigint)))),
-        'ks', concat(a.ks, array(if(x.v = 0, 0L, greatest(0L, least(x.n, cast(floor((a.e + f * x.v * x.n) / x.v + 0.5) as bigint)))))))).ks"""
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy("__size"))
+    blocks = levels.withColumn("block", F.floor((rank - 1) / BLOCK)).groupBy("__s", "block")
+    arrays = blocks.agg(F.sort_array(F.collect_list(F.struct(F.col("__size").alias("v"), "n")), asc=False).alias("ls"))  # BLOCK elements at most
+    arrays = arrays.join(rates.select("__s", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("f")), "__s")
+    large = arrays.where("block > 0").withColumn("r", F.expr(_fold("0D")))
+    carried = large.groupBy("__s").agg(F.sum("r.e").alias("e"))
+    small = arrays.where("block = 0").join(carried, "__s", "left").withColumn("r", F.expr(_fold("coalesce(e, 0D)")))
     chosen = (
-        arrays.join(rates.select("__s", "rate"), "__s")
-        .withColumns({"base": F.floor("rate"), "f": F.col("rate") - F.floor("rate")})
-        .withColumn("ks", F.expr(fold))
-        .select("__s", "base", F.explode(F.arrays_zip("ls", "ks")).alias("z"))
+        large.select("__s", "base", "ls", "r").union(small.select("__s", "base", "ls", "r"))
+        .select("__s", "base", F.explode(F.arrays_zip("ls", F.col("r.ks").alias("ks"))).alias("z"))
         .select("__s", "base", F.col("z.ls.v").alias("__size"), F.col("z.ls.n").alias("n"), F.col("z.ks").alias("k"))
     )
     upto = Window.partitionBy("__s", "__size").orderBy("salt")
@@ -122,12 +145,15 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Decisions: doc_id, __s, __size, copies for each row of ``docs``; rows that
     repeat doc_id, source and size get the same copies.  A null text has size
     0; documents of size 0 get the whole copies of their source's rate.  A null
-    source is a source of its own, and a null doc_id a doc_id.
+    source is a source of its own, and a null doc_id a doc_id.  An empty table
+    gives two empty tables; texts of any length count whole.
     """
     need_columns(docs, "doc_id", "text", "source")
-    sized = cut(with_size(docs.select("doc_id", "text", "source")).select("doc_id", "__s", "__size"), "mix-sized")
-    sources = cut(balance(source_targets(sized)), "mix-sources")
-    extra = _extra(sized, sources)
+    sized = cut(docs.select("doc_id", _source("source").alias("__s"), _size("text").alias("__size")), "mix-sized")
+    levels = cut(sized.groupBy("__s", "__size").agg(F.count(F.lit(1)).alias("n")), "mix-levels")
+    targets = cut(source_targets(levels), "mix-targets")
+    sources = cut(balance(levels, targets), "mix-sources")
+    extra = _extra(sized, levels, sources)
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
     at = Window.partitionBy("__s", "__size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
     decided = (
@@ -139,13 +165,15 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it (perhaps never)."""
+    """``docs`` with every row repeated as often as the mix takes it (perhaps
+    never); columns of any name stay as they are."""
     decided, _ = mix(docs)
-    times = decided.dropDuplicates(["doc_id", "__s", "__size"]).select(F.col("doc_id").alias("__id"), F.col("__s").alias("__t"), F.col("__size").alias("__n"), "copies")
-    times = times.withColumnRenamed("copies", "__copies").where("__copies > 0")
-    sized = with_size(docs)
-    on = sized["doc_id"].eqNullSafe(times["__id"]) & (sized["__s"] == times["__t"]) & (sized["__size"] == times["__n"])
-    return sized.join(times.hint("shuffle_hash"), on).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = decided.dropDuplicates(["doc_id", "__s", "__size"]).where("copies > 0")
+    times = times.select(F.col("doc_id").alias("__id"), F.col("__s").alias("__t"), F.col("__size").alias("__n"), F.col("copies").alias("__copies"))
+    rows = docs.select(F.struct("*").alias("r"))
+    on = F.col("r.doc_id").eqNullSafe(F.col("__id")) & (_source("r.source") == F.col("__t")) & (_size("r.text") == F.col("__n"))
+    again = rows.join(times.hint("shuffle_hash"), on).select("r", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return again.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
