@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .chunks import RUNS, Chunks
 from .shared import need_columns, small_batches
@@ -34,15 +34,6 @@ _LAST = 0x2000
 _SLICE = 1 << 17
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level BPE:
-    printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in set(own)]
-    table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [table[b] for b in range(256)]
-
-
 class MergeEncoder:
     """Exact BPE of single words, from a vocabulary and ranked merges."""
 
@@ -53,6 +44,7 @@ class MergeEncoder:
         for i, t in self.text.items():
             self.find.add_word(t, i)
         self.find.make_automaton()
+        self.longest = max(map(len, self.text.values()))
         self.ids = {t: i for i, t in self.text.items()}
         self.rank, self.parts, self.birth = {}, {}, {}
         for r, (a, b) in enumerate(merges):
@@ -64,7 +56,6 @@ class MergeEncoder:
                 raise ValueError("a merge comes before its parts")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cuts: dict[int, int | None] = {}
-        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.suffix = suffix
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
@@ -99,8 +90,8 @@ class MergeEncoder:
             self.cuts[token] = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), None)
         return self.cuts[token]
 
-    def word(self, word: str) -> list[int]:
-        s = word.encode().decode("latin-1").translate(self.symbols)
+    def word(self, s: str) -> list[int]:
+        """The ids of a word, given as the symbols of its bytes."""
         if self.suffix:
             s = s[:-1] + chr(ord(s[-1]) + _LAST)
         found = [i for _, i in self.find.iter_long(s)]
@@ -115,7 +106,7 @@ class MergeEncoder:
                 out.append(token)
                 at = end
                 if at < len(s):
-                    token = next(self.find.iter_long(s[at:]))[1]
+                    token = next(self.find.iter_long(s[at : at + self.longest]))[1]
             elif (less := self._shorter(token)) is not None:
                 token = less
             else:
@@ -126,7 +117,8 @@ class MergeEncoder:
 
 
 class WordTokenizer:
-    """What a tokenizer file with NFC, lower case and a splitting pattern does.
+    """What a tokenizer file with NFC, lower case, a splitting pattern and byte
+    symbols does.
 
     ``spec`` is the file's JSON text.  Special tokens in a text are found before
     normalisation, as the file's library does by default.
@@ -134,12 +126,13 @@ class WordTokenizer:
 
     def __init__(self, spec: str):
         d = json.loads(spec)
-        split = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         model = d["model"]
         kinds = [n["type"] for n in d["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or d.get("decoder"):
             raise ValueError("not the kind of tokenizer file that this encoder reads")
-        self.split = regex.compile(split)
+        # normalisation and splitting into words are the library's own; the merges are not
+        library = Tokenizer.from_str(spec)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.bpe = MergeEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -151,11 +144,8 @@ class WordTokenizer:
         self.whole = Chunks(each, {"": b""}, False)
 
     def _normal(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
-        # lower case by character: a final sigma is no exception
-        text = "σ".join(x.lower() for x in text.split("Σ"))
         ids: list[int] = []
-        for w in self.split.findall(text):
+        for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):
             ids += self.bpe.word(w)
         return np.array(ids, "<u4").tobytes()
 

@@ -28,7 +28,7 @@ def plain(chunk: str) -> bool:
 class Chunks:
     """``encode`` turns a list of chunks into a list of bytes; ``fixed`` are
     chunks with bytes of their own; with ``bare``, other chunks that do not end
-    in a letter or digit spoil a text."""
+    in a letter or digit, as lower case, spoil a text."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool):
         self.encode, self.fixed, self.bare = encode, fixed, bare
@@ -45,7 +45,7 @@ class Chunks:
                 known.clear()
                 known.update(self.fixed)
                 new -= self.fixed.keys()
-            good = [w for w in new if plain(w) and (not self.bare or w[-1].isalnum())]
+            good = [w for w in new if plain(w) and (not self.bare or w.lower()[-1].isalnum())]
             known.update(dict.fromkeys(new, False))
             if good:
                 known.update(zip(good, self.encode(good)))

@@ -149,3 +149,40 @@ def test_language_and_toxicity(spark):
     scored = toxicity.score_texts(docs, fitted).join(labels, "doc_id")
     assert scored.where("predicted = toxic").count() >= 0.93 * scored.count()
     assert toxicity.score_texts(odd, fitted).count() == 3
+
+
+def test_every_code_point():
+    """Each code point between letters, before a mark, and alone."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = bpe.WordTokenizer(f.read())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}, {chr(c)}{chr(c)}." for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    want = lib.encode_batch_fast(texts, add_special_tokens=False)
+    for t, w in zip(texts, want):
+        assert own.encode(t).tolist() == w.ids
+    for c in points[:0x800]:  # one by one, where most texts lie
+        t = f"a{chr(c)}b {chr(c)}, {chr(c)}{chr(c)}."
+        assert own.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, hex(c)
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    with open(bpe.vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = bpe.WordTokenizer(f.read())
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    assert own.encode(word[:50_000]).tolist() == lib.encode(word[:50_000], add_special_tokens=False).ids
+    took = []
+    for n in (100_000, 400_000):
+        t = time.process_time()
+        own.encode(word[:n])
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * max(took[0], 0.05), took
