@@ -3,8 +3,8 @@
 A text is read as code points, lower-cased, with every run of other characters
 than letters as breaks.  Its n-grams of the lengths in ``SIZES`` are hashed to
 ``BUCKETS`` buckets.  The matrix of log probabilities, whose size depends on the
-number of languages only, is broadcast; batches are scored by gathering rows and
-summing them per document.
+number of languages only, is broadcast; a batch becomes a sparse matrix of
+counts, documents by buckets, which is multiplied by it.
 
 The model is fitted on a hash sample of about ``SAMPLE_DOCS`` of the rows that
 it may learn from; held-out rows are never among them.
@@ -25,8 +25,8 @@ SIZES = (2, 3)
 BUCKETS = 1 << 15
 #: Documents that the model is fitted on, at most about.
 SAMPLE_DOCS = 20_000
-#: Code points that are scored at once.
-BLOCK = 1 << 19
+#: Code points that are hashed at once; counts of a sparse matrix, at most about.
+BLOCK, COUNTS = 1 << 19, 1 << 20
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 _table: list[np.ndarray] = []
@@ -105,13 +105,31 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.concatenate((out, priors)).astype(np.float32)
 
 
+def counts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and how often each occurs."""
+    n = np.zeros(BUCKETS, np.int64)
+    for g in grams(c):
+        n += np.bincount(g, minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
+def multiply(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix, given by the places and counts of each
+    row (none of them empty), and ``table``."""
+    starts = np.cumsum([0] + [len(at) for at, _ in rows[:-1]])
+    at, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    return np.add.reduceat(table[at].astype(np.float64) * n[:, None], starts, axis=0)
+
+
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score: the likeliest language of every whole text and
     its posterior probability.
 
     A null text and a text without letters get ``und`` and score 0, and so do
     all texts if nothing could be learned.  Of equally likely languages the
-    first by name counts.
+    first by name counts.  Repeated rows are judged alike, other columns are not
+    read, and an empty table gives no rows.
     """
     need_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -121,19 +139,29 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
-            pred, score = [], []
-            for text in b.column(1):
+            pred, score = [UNKNOWN] * len(b), [0.0] * len(b)
+            rows, places, held = [], [], 0
+
+            def settle() -> None:
+                if rows:
+                    total = multiply(rows, table) + table[BUCKETS]
+                    best = total.argmax(axis=1)
+                    sure = 1 / np.exp(total - total[np.arange(len(best)), best][:, None]).sum(axis=1)
+                    for i, k, p in zip(places, best.tolist(), sure.tolist()):
+                        pred[i], score[i] = langs[k], p
+                rows.clear()
+                places.clear()
+
+            for i, text in enumerate(b.column(1)):
                 c = codes(text.as_py() or "")
-                if not langs or not (c != 32).any():
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                total = table[BUCKETS].astype(np.float64)
-                for g in grams(c):
-                    total = total + table.take(g, axis=0).sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
+                if langs and (c != 32).any():
+                    rows.append(counts(c))
+                    places.append(i)
+                    held += len(rows[-1][0])
+                    if held > COUNTS:
+                        settle()
+                        held = 0
+            settle()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")

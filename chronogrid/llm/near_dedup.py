@@ -171,10 +171,22 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def dedup_near(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept, one document of each component; a
-    doc_id on several kept rows stays on all of them."""
-    kept = link_components(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["__gone"], "left_anti")
+    """The rows of ``docs`` that are kept, one document of each component, with
+    all their columns.
+
+    Of rows that repeat a doc_id and its text one stays; rows with a repeated
+    doc_id and other texts stay or go together.  Rows without a doc_id, with a
+    null text or without words stay; an empty table gives an empty table.
+    """
+    gone = link_components(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.select(F.struct("*").alias("r")).join(gone.hint("shuffle_hash"), F.col("r.doc_id") == F.col("__gone"), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    if not twice.isEmpty():
+        marked = kept.join(twice, F.col("r.doc_id") == F.col("__twice"), "left")
+        many = marked.where("__twice is not null")
+        first = many.groupBy("__twice", F.xxhash64("r.text").alias("h")).agg(F.first("r").alias("r")).select("r")
+        kept = marked.where("__twice is null").select("r").union(first)
+    return kept.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,12 +24,14 @@ _own_root: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a folder of this process is made and named.
+    It is ``spark.checkpoint.dir``; only in local mode, where one process is
+    all, a folder of its own takes the place of an unset one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="chronogrid-"))
     return _own_root[0]

@@ -44,6 +44,8 @@ MAGIC = b"CGTOKEN1"
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 DICTIONARY_BYTES = 64 << 10
 NO_ID = (1 << 63) - 1
+#: Bytes of a shard that are read at once; bytes of a shard, at most about.
+READ_BYTES, SHARD_BYTES = 8 << 20, 256 << 20
 #: In the cache only: a comma and a full stop at a chunk's end, a chunk after a
 #: line feed, and a text's first chunk.
 _COMMA, _STOP, _LINE, _FIRST = "\x01", "\x02", "\x03", "\x04"
@@ -136,8 +138,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> Da
     """Encode every whole text and write the files; the manifest as a table:
     shard, docs, tokens.
 
-    A null text has only the end id.  Rows that repeat a doc_id are all written,
-    in the order of their ids' bytes.
+    A null or empty text has only the end id, and a text of any length is one
+    frame.  Rows that repeat a doc_id are all written, in the order of their ids'
+    bytes.  An empty table gives empty shards.
     """
     need_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -176,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> Da
         width = _encoder(spec, end_id).width
         fs, root = _files(folder)
         mine = f"{root}/.{at}-{uuid.uuid4().hex}"
-        ids, ends, sizes, end = [], [], [], 24
+        ids, ends, sizes, end = array("q"), array("q"), array("q"), 24
         with fs.open_output_stream(mine) as out:
             out.write(MAGIC + np.array([xxhash.xxh64_intdigest(shared.value), width], "<u8").tobytes())
             for b in batches:
@@ -185,14 +188,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> Da
                     out.write(f)
                     end += len(f)
                     ends.append(end)
-                ids += b.column(0).to_pylist()
-                sizes += b.column(1).to_pylist()
-            out.write(np.array([ids, ends, sizes], "<i8").tobytes() + np.array([len(ids)], "<i8").tobytes() + MAGIC)
+                ids.extend(b.column(0).to_pylist())
+                sizes.extend(b.column(1).to_pylist())
+            out.write(b"".join(np.asarray(x, "<i8").tobytes() for x in (ids, ends, sizes)) + np.array([len(ids)], "<i8").tobytes() + MAGIC)
         fs.move(mine, f"{root}/shard-{at:08d}")
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["shard", "docs", "tokens"])
 
     packed = cut(docs.mapInArrow(frames, "doc_id bigint, n bigint, frame binary"), "token-frames")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = packed.agg(F.sum(F.length("frame"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = packed.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "frame")
     manifest = cut(ordered.mapInArrow(shard, "shard bigint, docs bigint, tokens bigint"), "token-manifest")
     discard(packed)
@@ -220,12 +224,25 @@ class Shard:
         self.starts = np.concatenate((np.array([24], np.int64), self.ends))[:count]
         self.unpack = zstandard.ZstdDecompressor(dict_data=_load(dictionary))
 
-    def ids(self, k: int) -> np.ndarray:
-        """The ids of the shard's document number k."""
-        frame = self.file.read_at(int(self.ends[k] - self.starts[k]), int(self.starts[k]))
+    def _ids(self, frame: bytes, k: int) -> np.ndarray:
         raw = self.unpack.decompress(frame, max_output_size=int(self.sizes[k]) * self.width)
         return np.frombuffer(raw, f"<u{self.width}")
 
+    def ids(self, k: int) -> np.ndarray:
+        """The ids of the shard's document number k, by one read."""
+        return self._ids(self.file.read_at(int(self.ends[k] - self.starts[k]), int(self.starts[k])), k)
+
+    def all(self) -> Iterator[np.ndarray]:
+        """The ids of all documents in order, by few large reads."""
+        k = 0
+        while k < len(self.ends):
+            first = int(self.starts[k])
+            last = max(k + 1, int(np.searchsorted(self.ends, first + READ_BYTES, side="right")))
+            block = self.file.read_at(int(self.ends[last - 1]) - first, first)
+            for i in range(k, last):
+                yield self._ids(block[int(self.starts[i]) - first : int(self.ends[i]) - first], i)
+            k = last
+
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
@@ -241,7 +258,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for b in batches:
             for number, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(folder, number)
-                crc = pa.array([zlib.crc32(s.ids(k).astype("<u4").tobytes()) for k in range(len(s.sizes))], pa.int64())
+                crc = pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in s.all()], pa.int64())
                 starts = base + np.cumsum(s.sizes) - s.sizes
                 ids = pa.array(s.doc_ids, mask=s.doc_ids == NO_ID)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(s.sizes), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -12,7 +12,9 @@ a digest that is found counts only if the stored text is equal.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -118,7 +120,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     """
     need_columns(pages, "page_id", "url")
     spark = pages.sparkSession
-    local = os.path.join(tempfile.mkdtemp(prefix="rules-"), f"rules-{os.urandom(8).hex()}.bin")
+    # Spark serves the file to executors from here until the driver ends
+    folder = tempfile.mkdtemp(prefix="rules-")
+    atexit.register(shutil.rmtree, folder, True)
+    local = os.path.join(folder, f"rules-{os.urandom(8).hex()}.bin")
     write_rules(rules, local)
     if os.path.getsize(local) > MOST_BYTES:
         raise ValueError("too many rules to send to every executor")

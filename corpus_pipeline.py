@@ -1,7 +1,8 @@
 """A training-corpus pipeline: five stages over documents, in order.
 
-Toxic documents go; lines that repeat an earlier similar line go; of each group
-of near copies one document stays; sources are mixed to their target weights, by
+Toxic documents go; lines that repeat an earlier similar line go, and with them
+the documents of which no line is left; of each group of near copies one
+document stays; sources are mixed to their target weights, by
 repeating or leaving out documents; the texts become token ids.  Each stage
 keeps the columns of documents, but for the last.
 """
@@ -21,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without redundant lines; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    """The documents without redundant lines; those that only had such lines go,
+    as all they hold stands in earlier documents.  n_chars follows the text."""
+    out = line_dedup.drop_redundant(docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
