@@ -131,7 +131,7 @@ class WordTokenizer:
         if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or d.get("decoder"):
             raise ValueError("not the kind of tokenizer file that this encoder reads")
         # normalisation and splitting into words are the library's own; the merges are not
-        library = Tokenizer.from_str(spec)
+        library = Tokenizer.from_str(json.dumps(d | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.bpe = MergeEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}

@@ -46,7 +46,7 @@ PERCENT = 80
 #: Hash buckets of the word-frequency table: its size never grows.
 BUCKETS = 1 << 17
 #: Postings of a word that one task compares; those of a task, at most about.
-HOT, PER_TASK = 1 << 16, 1 << 19
+HOT, PER_TASK = 1 << 16, 1 << 18
 #: Lines of a group that every other line of it is compared with first.
 LEADERS = 8
 _NO_ID = (1 << 63) - 1

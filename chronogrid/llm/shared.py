@@ -122,5 +122,5 @@ def need_columns(df: DataFrame, *names: str) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get: documents can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

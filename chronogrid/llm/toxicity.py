@@ -290,9 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     whole = frequent(each, "word").where("length(word) >= 3").orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()
     cuts = F.explode(F.array(*[F.when(F.length("word") >= n, F.left("word", F.lit(n))) for n in STEMS])).alias("start")
-    starts = each.select("toxic", "i", "word", cuts).where("start is not null")
-    several = starts.where("toxic = 1").groupBy("start").agg(F.countDistinct("word").alias("k")).where(f"k >= {SHARED}").select("start")
-    start = frequent(starts.select("toxic", "i", "start").distinct(), "start").join(several, "start", "left_semi")
+    # toxic texts name the beginnings that may count, then all texts count them
+    toxic = each.where("toxic = 1").select("i", "word", cuts).where("start is not null").groupBy("start")
+    maybe = toxic.agg(F.countDistinct("i").alias("t"), F.countDistinct("word").alias("k")).where(f"t >= {least} and k >= {SHARED}").select("start")
+    starts = each.select("toxic", "i", cuts).where("start is not null").join(maybe, "start", "left_semi")
+    start = frequent(starts.distinct(), "start")
     found = {r.start: (r.t, r.odds) for r in start.orderBy(F.desc("odds"), "start").limit(MOST_WORDS).collect()}
     # of beginnings that stand in as many toxic texts, the longest
     longer = {s[:-1]: 0 for s in found}
