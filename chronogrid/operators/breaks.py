@@ -5,104 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Breakpoint, Recovery
-from ..functions.dist import f2_survival
+from ..config import Section, defaults
+from ..functions import kernels as K
+from ..functions.batches import add_struct
+from ..functions.kernels import INSUFFICIENT, NONE, NOT_RECOVERING, RECOVERED, RECOVERING
 
-#: Status codes of what follows a break.
-NONE, RECOVERED, RECOVERING, NOT_RECOVERING, INSUFFICIENT = range(5)
-STATUS_NAMES = {0: "NO_DISTURBANCE", 1: "RECOVERED", 2: "RECOVERING", 3: "NOT_RECOVERING", 4: "INSUFFICIENT_DATA"}
+# Names of the status codes of what follows a break.
+STATUS_NAMES = {NONE: "NO_DISTURBANCE", RECOVERED: "RECOVERED", RECOVERING: "RECOVERING", NOT_RECOVERING: "NOT_RECOVERING", INSUFFICIENT: "INSUFFICIENT_DATA"}
+BRK = {"index": "int", "delta_slope": "double", "gain": "double", "f_stat": "double", "p": "double", "p_adjusted": "double", "significant": "boolean"}
+REC = {
+    "pre_level": "double", "trough_value": "double", "trough_index": "int", "disturbance_magnitude": "double", "recovery_magnitude": "double",
+    "recovery_fraction": "double", "recovery_duration": "double", "recovery_slope": "double", "status": "int",
+}
 
 
-def breakpoint(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "brk", cfg: Breakpoint | None = None) -> DataFrame:
-    """Adds a struct index, delta_slope, gain, f_stat, p, p_adjusted, significant.
-
-    The break k with the least squared error of two lines, one before k and one
-    from k on, each over enough points; index -1 where there is none.  Prefix
-    sums give the error of every segment in closed form; errors equal to 10 places
-    tie, and the first position wins.  The Chow test's p is
-    multiplied by the number of candidate positions.
-    """
-    cfg = cfg or Breakpoint()
+def break_kernel(cfg: Section):
     least = cfg.min_segment_length
     if least < 3:
         raise ValueError("a segment needs at least 3 points")
-    first, last = least, n_time - least - 1
-    names = ("n", "t", "tt", "x", "xx", "tx")
-    zero = "named_struct(" + ", ".join(f"'{k}', 0D" for k in names) + ")"
-    term = {"n": "1D", "t": "t", "tt": "t * t", "x": "e", "xx": "e * e", "tx": "t * e"}
-    step = "named_struct(" + ", ".join(f"'{k}', s.{k} + p.{k}" for k in names) + ")"
-    term_of = "named_struct(" + ", ".join(f"'{k}', if(e is null, 0D, cast({term[k]} as double))" for k in names) + ")"
-    df = df.withColumn("_terms", F.expr(f"transform({x}, (e, t) -> {term_of})"))
-    df = df.withColumn("_sums", F.expr(f"aggregate(_terms, array({zero}), (acc, p) -> concat(acc, transform(slice(acc, -1, 1), s -> {step})))"))
-    df = df.withColumn("_all", F.expr(f"get(_sums, {n_time})"))
+    gain, alpha, test = cfg.min_variance_gain, cfg.significance_alpha, cfg.apply_significance_test
+    return lambda m: K.breakpoint(m, least, gain, alpha, test)
+
 
-    def fit(a: str) -> tuple[str, str]:
-        stt, stx, sxx = f"({a}.tt - {a}.t * {a}.t / {a}.n)", f"({a}.tx - {a}.t * {a}.x / {a}.n)", f"({a}.xx - {a}.x * {a}.x / {a}.n)"
-        slope = f"if({stt} > 0, {stx} / {stt}, 0D)"
-        return f"greatest(0D, {sxx} - if({stt} > 0, {stx} * {stx} / {stt}, 0D))", slope
+def recovery_kernel(cfg: Section):
+    window, drop, after, share = cfg.pre_window, cfg.min_disturbance_magnitude, cfg.min_post_obs, cfg.recovery_threshold
+    return lambda m, index: K.recovery(m, index, window, drop, after, share)
 
-    rest = "named_struct(" + ", ".join(f"'{k}', _all.{k} - s.{k}" for k in names) + ")"
-    steps = f"sequence({first}, {last})" if first <= last else "cast(array() as array<int>)"
-    df = df.withColumn("_cuts", F.expr(f"transform({steps}, k -> transform(slice(_sums, k + 1, 1), s -> named_struct('k', k, 'a', s, 'b', {rest}))[0])"))
-    (sse_a, slope_a), (sse_b, slope_b) = fit("c.a"), fit("c.b")
-    df = df.withColumn("_fits", F.expr(f"transform(filter(_cuts, c -> c.a.n >= {least} and c.b.n >= {least}), c -> named_struct('r', round({sse_a} + {sse_b}, 10), 'k', c.k, 'sse', {sse_a} + {sse_b}, 'd', {slope_b} - ({slope_a})))"))
-    df = df.withColumn("_best", F.expr("array_min(_fits)"))
-    df = df.withColumn("_sse1", F.expr(f"if(_all.n > 0, {fit('_all')[0]}, null)"))
-    df = df.withColumn("_var", F.expr("_all.xx - _all.x * _all.x / _all.n"))
-    df = df.withColumn("_ok", F.expr("_best is not null and _sse1 > 1e-10D * greatest(_var, 1e-30D)"))
-    df = df.withColumn("_gain", F.expr("if(_ok and _sse1 > 0, 1 - _best.sse / _sse1, null)"))
-    df = df.withColumn("_m", F.expr("_all.n - 4"))
-    df = df.withColumn("_f", F.expr("if(_ok and _best.sse > 0 and _m > 0, (_sse1 - _best.sse) / 2 / (_best.sse / _m), null)"))
-    df = df.withColumn("_p", F.expr(f2_survival("_f", "_m")))
-    tested = f" and least(_p * {max(last - first + 1, 1)}, 1D) < {cfg.significance_alpha}" if cfg.apply_significance_test else ""
-    fields = {
-        "index": "coalesce(_best.k, -1)",
-        "delta_slope": "_best.d",
-        "gain": "_gain",
-        "f_stat": "_f",
-        "p": "_p",
-        "p_adjusted": f"least(_p * {max(last - first + 1, 1)}, 1D)",
-        "significant": f"coalesce(_gain >= {cfg.min_variance_gain}{tested}, false)",
-    }
-    df = df.withColumn(out, F.struct(*[F.expr(e).alias(k) for k, e in fields.items()]))
-    return df.drop("_terms", "_sums", "_all", "_cuts", "_fits", "_best", "_sse1", "_var", "_ok", "_gain", "_m", "_f", "_p")
+
+def breakpoint(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "brk", cfg: Section | None = None) -> DataFrame:
+    """Adds a struct index, delta_slope, gain, f_stat, p, p_adjusted, significant.
+
+    The break k with the least squared error of two lines, one before k and one
+    from k on, each over enough points; index -1 where there is none.  Prefix
+    sums give the error of every segment in closed form; errors that are equal
+    to 10 places of the single line's error tie, and the first position wins.
+    The Chow test's p is multiplied by the number of candidate positions.
+    """
+    return add_struct(df, [x], out, BRK, break_kernel(cfg or defaults("breakpoint")))
 
 
-def recovery(df: DataFrame, n_time: int, x: str = "ndvi", index: str = "brk.index", out: str = "rec", cfg: Recovery | None = None) -> DataFrame:
+def recovery(df: DataFrame, n_time: int, x: str = "ndvi", index: str = "brk.index", out: str = "rec", cfg: Section | None = None) -> DataFrame:
     """Adds a struct with the level before the break, the trough after it, the
     size of the drop, how much came back, and a status code.
 
     The steps are those of a ladder: each status that ends it leaves the later
     fields null.  Any break counts, significant or not.
     """
-    cfg = cfg or Recovery()
-    df = df.withColumn("_k", F.expr(f"if({index} between 0 and {n_time - 1}, {index}, null)"))
-    df = df.withColumn("_v", F.expr(f"filter(transform({x}, (e, t) -> named_struct('t', t, 'x', e)), p -> p.x is not null)"))
-    df = df.withColumn("_before", F.expr(f"filter(_v, p -> p.t >= _k - {cfg.pre_window} and p.t < _k)"))
-    df = df.withColumn("_pre", F.expr("if(_k is null or size(_before) = 0, null, aggregate(_before, 0D, (a, p) -> a + p.x) / size(_before))"))
-    df = df.withColumn("_post", F.expr("filter(_v, p -> p.t >= _k)"))
-    df = df.withColumn("_low", F.expr("if(_pre is null or size(_post) < 2, null, array_min(transform(_post, p -> named_struct('x', p.x, 't', p.t))))"))
-    df = df.withColumn("_drop", F.expr("_pre - _low.x"))
-    df = df.withColumn("_real", F.expr(f"_drop >= {cfg.min_disturbance_magnitude}"))
-    df = df.withColumn("_tail", F.expr("filter(_v, p -> p.t >= _low.t)"))
-    df = df.withColumn("_enough", F.expr(f"_real and size(_tail) >= {cfg.min_post_obs}"))
-    df = df.withColumn("_back", F.expr("if(_enough, element_at(_tail, -1).x - _low.x, null)"))
-    df = df.withColumns({"_mt": F.expr("aggregate(_tail, 0D, (a, p) -> a + p.t) / size(_tail)"), "_mx": F.expr("aggregate(_tail, 0D, (a, p) -> a + p.x) / size(_tail)")})
-    slope = "aggregate(_tail, 0D, (a, p) -> a + (p.t - _mt) * (p.x - _mx)) / aggregate(_tail, 0D, (a, p) -> a + (p.t - _mt) * (p.t - _mt))"
-    df = df.withColumn("_slope", F.expr(f"if(_enough and size(_tail) >= 2, {slope}, null)"))
-    df = df.withColumn("_hit", F.expr(f"if(_enough, get(filter(_tail, p -> p.x >= {cfg.recovery_threshold}D * _pre), 0).t, null)"))
-    status = f"""case when _k is null then {NONE} when _pre is null or _low is null then {INSUFFICIENT} when not _real then {NONE}
-      when not _enough then {INSUFFICIENT} when _hit is not null then {RECOVERED} when _slope > 0 then {RECOVERING} else {NOT_RECOVERING} end"""
-    fields = {
-        "pre_level": "_pre",
-        "trough_value": "_low.x",
-        "trough_index": "_low.t",
-        "disturbance_magnitude": "_drop",
-        "recovery_magnitude": "_back",
-        "recovery_fraction": "if(_back is null, null, greatest(_back / _drop, 0D))",
-        "recovery_duration": "cast(_hit - _low.t as double)",
-        "recovery_slope": "_slope",
-        "status": status,
-    }
-    df = df.withColumn(out, F.struct(*[F.expr(e).alias(k) for k, e in fields.items()]))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    flat = df.withColumn("__k", F.col(index).cast("double"))
+    return add_struct(flat, [x, "__k"], out, REC, recovery_kernel(cfg or defaults("recovery"))).drop("__k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Uncertainty
+from ..config import Section, defaults
 from .spatial import hash_order
 
 
@@ -46,10 +46,10 @@ def fold_summary(predictions: DataFrame) -> DataFrame:
     return rows.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def uncertainty(df: DataFrame, p: str = "probabilities", cfg: Uncertainty | None = None) -> DataFrame:
+def uncertainty(df: DataFrame, p: str = "probabilities", cfg: Section | None = None) -> DataFrame:
     """Adds confidence, margin, entropy (over that of equal odds), uncertain; a row
     with a missing probability is uncertain and has no measures."""
-    cfg = cfg or Uncertainty()
+    cfg = cfg or defaults("uncertainty")
     whole = f"{p} is not null and forall({p}, e -> e is not null and not isnan(e))"
     df = df.withColumn("_s", F.expr(f"if({whole}, sort_array({p}, false), null)"))
     df = df.withColumns({"confidence": F.expr("_s[0]"), "margin": F.expr("_s[0] - _s[1]"), "entropy": F.expr("-aggregate(_s, 0D, (a, e) -> a + if(e > 0, e * ln(e), 0D)) / ln(size(_s))")})

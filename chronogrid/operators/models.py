@@ -8,11 +8,11 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Cyclicity, Forest
+from ..config import Section, defaults
 from .spectral import band
 
 
-def fit_forest(train: DataFrame, names: list[str], label: str, cfg: Forest):
+def fit_forest(train: DataFrame, names: list[str], label: str, cfg: Section):
     """Median imputation and a forest, both fitted on the training rows only; a
     column without any value is 0 for all."""
     known = train.agg(*[F.count(c).alias(c) for c in names]).first()
@@ -25,14 +25,14 @@ def fit_forest(train: DataFrame, names: list[str], label: str, cfg: Forest):
     return lambda df: model.transform(prepare(df))
 
 
-def spatial_cv(samples: DataFrame, names: list[str], label: str, n_folds: int, cfg: Forest | None = None) -> DataFrame:
+def spatial_cv(samples: DataFrame, names: list[str], label: str, n_folds: int, cfg: Section | None = None) -> DataFrame:
     """pixel_id, fold, truth, prediction: each fold predicted by a forest that never
     saw it; folds whose training rows have one class only are left out.
 
     Labels are whole numbers from 0.  The loop runs over folds, of which there are
     a few, not over rows.
     """
-    cfg = cfg or Forest()
+    cfg = cfg or defaults("forest")
     samples = samples.withColumn(label, F.col(label).cast("double")).persist()
     out = None
     for fold in range(n_folds):
@@ -46,7 +46,7 @@ def spatial_cv(samples: DataFrame, names: list[str], label: str, n_folds: int, c
     return out
 
 
-def surrogate_test(series: DataFrame, n_time: int, cfg: Cyclicity | None = None) -> DataFrame:
+def surrogate_test(series: DataFrame, n_time: int, cfg: Section | None = None) -> DataFrame:
     """pixel_id, score, p_value, significant: the band share of power against that
     of autoregressive surrogates.
 
@@ -54,7 +54,7 @@ def surrogate_test(series: DataFrame, n_time: int, cfg: Cyclicity | None = None)
     that results depend neither on partitions nor on the order of rows.  Series
     with fewer than min_obs points have nulls.
     """
-    cfg = cfg or Cyclicity()
+    cfg = cfg or defaults("cyclicity")
     ks, draws, least, seed, alpha = band(n_time, cfg), cfg.n_surrogates, cfg.min_obs, cfg.seed, cfg.surrogate_alpha
 
     def run(batches):

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Quality
-from ..functions.arrays import median, quantile, total
+from ..config import Section, defaults
+from ..functions import kernels as K
+from ..functions.arrays import total
+from ..functions.batches import add_struct
 from ..series import sealed
 
 OK, INSUFFICIENT_OBS, TOO_MANY_MISSING, CONSTANT, OUT_OF_RANGE = range(5)
 FLAG_NAMES = {0: "OK", 1: "INSUFFICIENT_OBS", 2: "TOO_MANY_MISSING", 3: "CONSTANT", 4: "OUT_OF_RANGE"}
 
 
-def sanitize(df: DataFrame, x: str = "ndvi", cfg: Quality | None = None) -> DataFrame:
+def sanitize(df: DataFrame, x: str = "ndvi", cfg: Section | None = None) -> DataFrame:
     """Values outside the physical range become null."""
-    cfg = cfg or Quality()
+    cfg = cfg or defaults("quality")
     return df.withColumn(x, F.expr(f"transform({x}, e -> if(e between {cfg.ndvi_min}D and {cfg.ndvi_max}D, e, null))"))
 
 
-def assess(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "quality", cfg: Quality | None = None) -> DataFrame:
+def assess(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "quality", cfg: Section | None = None) -> DataFrame:
     """Adds a struct valid_count, missing_fraction, variance, flag, after
     sanitizing; the most fundamental failure names the flag."""
-    cfg = cfg or Quality()
+    cfg = cfg or defaults("quality")
     df = sanitize(df.withColumn("_x", F.col(x)), "_x", cfg).withColumn("_v", F.expr("filter(_x, e -> e is not null)"))
     df = df.withColumn("_n", F.expr("size(_v)")).withColumn("_m", F.expr(f"{total('_v', 'p')} / _n"))
     df = df.withColumn("_var", F.expr(f"if(_n = 0, 0D, {total('_v', '(p - _m) * (p - _m)')} / _n)"))
@@ -33,7 +35,7 @@ def assess(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "quality", cf
     return df.drop("_x", "_v", "_n", "_m", "_var", "_miss")
 
 
-def usable(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Quality | None = None) -> DataFrame:
+def usable(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Section | None = None) -> DataFrame:
     """The series that pass the gate."""
     return sealed(assess(df, n_time, x, "_q", cfg)).where(f"_q.flag = {OK}").drop("_q")
 
@@ -57,10 +59,10 @@ def gap_runs(long: DataFrame, x: str = "ndvi") -> DataFrame:
     return runs.join(seen, "pixel_id", "left").select("pixel_id", "start", "end", "length", inside.alias("interior"))
 
 
-def fill_gaps(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Quality | None = None) -> DataFrame:
+def fill_gaps(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Section | None = None) -> DataFrame:
     """Interior gaps of at most max_interpolation_gap steps, filled linearly; adds
     n_filled.  Ends are never extrapolated."""
-    cfg = cfg or Quality()
+    cfg = cfg or defaults("quality")
     df = df.withColumn("_v", F.expr(f"filter(transform({x}, (e, i) -> named_struct('t', i, 'x', e)), p -> p.x is not null)"))
     near = "named_struct('a', array_max(filter(_v, p -> p.t < i)), 'b', array_min(filter(_v, p -> p.t > i)))"
     df = df.withColumn("_near", F.expr(f"transform({x}, (e, i) -> if(e is not null, null, {near}))"))
@@ -71,17 +73,13 @@ def fill_gaps(df: DataFrame, n_time: int, x: str = "ndvi", cfg: Quality | None =
     return df.withColumn("n_filled", F.expr(f"{holes(x)} - {holes('_f')}")).withColumn(x, F.col("_f")).drop("_v", "_near", "_f")
 
 
+STATS = {"n": "int", "mean": "double", "std": "double", "cv": "double", "amp": "double", "median": "double", "min": "double", "max": "double"}
+
+
 def describe(df: DataFrame, x: str = "ndvi") -> DataFrame:
     """Adds a struct of descriptive statistics of the observed values: n, mean,
     std (of the population), cv, amp (95th less 5th percentile), median, min, max."""
-    df = df.withColumn("_v", F.expr(f"sort_array(filter({x}, e -> e is not null))")).withColumn("_m", F.expr(f"if(size(_v) = 0, null, {total('_v', 'p')} / size(_v))"))
-    df = df.withColumn("_sd", F.expr(f"sqrt({total('_v', '(p - _m) * (p - _m)')} / size(_v))"))
-    fields = {
-        "n": "size(_v)", "mean": "_m", "std": "_sd", "cv": "if(abs(_m) > 1e-9, _sd / _m, null)",
-        "amp": f"{quantile('_v', 0.95)} - {quantile('_v', 0.05)}", "median": median("_v"), "min": "get(_v, 0)", "max": "get(_v, size(_v) - 1)",
-    }
-    df = df.withColumn(f"{x}_stats", F.struct(*[F.expr(e).alias(k) for k, e in fields.items()]))
-    return df.drop("_v", "_m", "_sd")
+    return add_struct(df, [x], f"{x}_stats", STATS, K.describe)
 
 
 def describe_all(long: DataFrame, *names: str) -> DataFrame:
@@ -111,9 +109,9 @@ def availability_trend(long: DataFrame) -> DataFrame:
     return got.select(F.when(fine, F.col("s")).alias("slope_per_step"), F.when(fine, F.col("i")).alias("intercept"), F.when(fine, F.col("c")).alias("correlation_with_time"))
 
 
-def validate(long: DataFrame, cfg: Quality | None = None) -> DataFrame:
+def validate(long: DataFrame, cfg: Section | None = None) -> DataFrame:
     """One row of checks over all cells: counts, range, values out of range."""
-    cfg = cfg or Quality()
+    cfg = cfg or defaults("quality")
     bad = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return long.agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_distinct("pixel_id").alias("n_pixels"), F.count_distinct("t").alias("n_time"), bad(F.col("ndvi").isNull()).alias("n_missing"),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Cyclicity
-from ..functions.arrays import points, total
+from ..config import Section, defaults
+from ..functions import kernels as K
+from ..functions.batches import add_struct, with_kernel
 
+CYC = {"score": "double", "enrichment": "double", "period": "double", "band_power": "double", "total_power": "double", "periodic": "boolean"}
 
-def band(n_time: int, cfg: Cyclicity) -> list[int]:
+
+def band(n_time: int, cfg: Section) -> list[int]:
     """The harmonics whose frequency lies in the period band."""
     if cfg.min_period <= 1 or cfg.max_period <= cfg.min_period:
         raise ValueError("periods must be above 1 and in ascending order")
@@ -19,42 +22,22 @@ def band(n_time: int, cfg: Cyclicity) -> list[int]:
 def dft_power(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "power", detrend: bool = True) -> DataFrame:
     """Adds an array: the power of harmonics 1 .. n_time // 2 of the series, with
     gaps at its mean and its linear trend over all steps taken out."""
-    middle = (n_time - 1) / 2
-    spread = sum((t - middle) ** 2 for t in range(n_time))
-    df = df.withColumn("_v", F.expr(points(x))).withColumn("_m", F.expr(f"if(size(_v) = 0, 0D, {total('_v', 'p.x')} / size(_v))"))
-    df = df.withColumn("_f", F.expr(f"transform(_v, p -> p.x - _m)"))
-    df = df.withColumn("_full", F.expr(f"transform({x}, e -> coalesce(e, _m))"))
-    df = df.withColumn("_mean", F.expr(f"{total('_full', 'p')} / {n_time}"))
-    df = df.withColumn("_b", F.expr(f"aggregate(transform(_full, (e, t) -> (t - {middle}D) * (e - _mean)), 0D, (a, e) -> a + e) / {spread}D") if detrend else F.lit(0.0))
-    df = df.withColumn("_d", F.expr(f"transform(_full, (e, t) -> e - _mean - _b * (t - {middle}D))"))
-    wave = lambda f: f"aggregate(transform(_d, (e, t) -> e * {f}(2 * pi() * k * t / {n_time})), 0D, (a, e) -> a + e)"
-    df = df.withColumn(out, F.expr(f"transform(sequence(1, {n_time // 2}), k -> power({wave('cos')}, 2) + power({wave('sin')}, 2))"))
-    return df.drop("_v", "_m", "_f", "_full", "_mean", "_b", "_d")
-
-
-def cyclicity(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "cyc", cfg: Cyclicity | None = None) -> DataFrame:
+    names = [f"__p{k}" for k in range(1, n_time // 2 + 1)]
+    flat = with_kernel(df, [x], names, lambda m: dict(zip(names, K.power(m, detrend).T if len(m) else K.np.zeros((len(names), 0)))))
+    return flat.withColumn(out, F.array(*names)).drop(*names)
+
+
+def kernel(n_time: int, cfg: Section):
+    ks = band(n_time, cfg)
+    longest, detrend, least, threshold = cfg.max_period, cfg.detrend, cfg.min_obs, cfg.periodicity_threshold
+    return lambda m: K.cyclicity(m, ks, longest, detrend, least, threshold)
+
+
+def cyclicity(df: DataFrame, n_time: int, x: str = "ndvi", out: str = "cyc", cfg: Section | None = None) -> DataFrame:
     """Adds a struct score, enrichment, period, band_power, total_power, periodic.
 
     The score is the band's share of the power; the enrichment is the score over
     the band's share of the harmonics, which is 1 for white noise.  All are null
     for too short or too sparse a record and for one without power.
     """
-    cfg = cfg or Cyclicity()
-    ks = band(n_time, cfg)
-    expected = len(ks) / (n_time // 2) if n_time // 2 else 0.0
-    df = dft_power(df, n_time, x, "_p", cfg.detrend)
-    df = df.withColumn("_n", F.expr(f"size(filter({x}, e -> e is not null))"))
-    within = f"slice(_p, {ks[0]}, {len(ks)})" if ks else "cast(array() as array<double>)"
-    df = df.withColumns({"_band": F.expr(total(within, "p")), "_total": F.expr(total("_p", "p"))})
-    usable = f"_n >= {cfg.min_obs} and _total > 1e-12D and {str(bool(ks) and n_time >= max(cfg.max_period, cfg.min_obs)).lower()}"
-    peak = f"array_position({within}, array_max({within}))"
-    fields = {
-        "score": "_band / _total",
-        "enrichment": f"_band / _total / {expected or 1.0}D",
-        "period": f"1 / (({peak} + {ks[0] - 1 if ks else 0}) * (1D / {n_time}))",
-        "band_power": "_band",
-        "total_power": "_total",
-    }
-    df = df.withColumn(out, F.struct(*[F.expr(f"if({usable}, {e}, null)").alias(k) for k, e in fields.items()]))
-    df = df.withColumn(out, F.struct(f"{out}.*", F.expr(f"coalesce({out}.enrichment >= {cfg.periodicity_threshold}, false)").alias("periodic")))
-    return df.drop("_p", "_n", "_band", "_total")
+    return add_struct(df, [x], out, CYC, kernel(n_time, cfg or defaults("cyclicity")))

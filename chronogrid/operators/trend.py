@@ -1,25 +1,30 @@
-"""Monotonic and linear trend of each series, as projections."""
+"""Monotonic and linear trend of each series.
+
+Each estimator adds columns in one pass over Arrow batches; no data moves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Restrend, Trend
-from ..functions.arrays import both, median, points, total
-from ..functions.dist import NORMAL_QUANTILE, normal_two_sided, student_two_sided
+from ..config import Section, defaults
+from ..functions import kernels as K
+from ..functions.batches import add_struct, with_kernel
+
+#: Fields of the Mann-Kendall, corrected and climate-adjusted results.
+MK = {"n": "int", "s": "double", "var": "double", "z": "double", "p": "double", "tau": "double"}
+HR = {"z": "double", "p": "double", "ratio": "double"}
+RESTREND = {"n": "int", "slope": "double", "p": "double", "r2": "double", "beta": "double", "beta_p": "double", "valid": "boolean"}
 
 
-def pair_slopes(df: DataFrame, x: str) -> DataFrame:
-    """Adds _v, the observed points, and _slopes, the ascending slopes of all
-    their pairs (which carry both the Sen slope and the Mann-Kendall S)."""
-    slopes = "sort_array(flatten(transform(_v, p -> transform(filter(_v, q -> q.t > p.t), q -> (q.x - p.x) / (q.t - p.t)))))"
-    return df.withColumn("_v", F.expr(points(x))).withColumn("_slopes", F.expr(slopes))
+def last_lag(n_time: int, cfg: Section) -> int:
+    return max(1, int(n_time * cfg.hr_max_lag_fraction))
 
 
 def sens_slope(df: DataFrame, x: str = "ndvi", out: str = "sen", min_obs: int = 10) -> DataFrame:
     """Theil-Sen slope: the median of pairwise slopes; null below min_obs points."""
-    return pair_slopes(df, x).withColumn(out, F.expr(f"if(size(_v) < {min_obs}, null, {median('_slopes')})")).drop("_v", "_slopes")
+    return with_kernel(df, [x], [out], lambda m: {out: K.sens_slope(m, min_obs)["sen"]})
 
 
 def mann_kendall(df: DataFrame, x: str = "ndvi", out: str = "mk", min_obs: int = 10, ties: bool = True) -> DataFrame:
@@ -29,69 +34,45 @@ def mann_kendall(df: DataFrame, x: str = "ndvi", out: str = "mk", min_obs: int =
     continuity correction and is 0 for S = 0, whatever the variance.  All but n
     and s are null below min_obs points.
     """
-    tied = total("array_distinct(transform(_v, q -> q.x))", "size(filter(_v, q -> q.x = d)) * (size(filter(_v, q -> q.x = d)) - 1D) * (2 * size(filter(_v, q -> q.x = d)) + 5)", "d") if ties else "0D"
-    df = pair_slopes(df, x).withColumns({"_n": F.expr("cast(size(_v) as double)"), "_s": F.expr(total("_slopes", "signum(p)")), "_ties": F.expr(tied)})
-    df = df.withColumn("_var0", F.expr("(_n * (_n - 1) * (2 * _n + 5) - _ties) / 18"))
-    df = df.withColumn("_var", F.expr(f"if(_n < {min_obs} or _var0 <= 0, null, _var0)"))
-    df = df.withColumn("_z", F.expr(f"if(_n < {min_obs}, null, if(_s > 0, (_s - 1) / sqrt(_var), if(_s < 0, (_s + 1) / sqrt(_var), 0D)))"))
-    fields = {
-        "n": "cast(_n as int)",
-        "s": "_s",
-        "var": "_var",
-        "z": "_z",
-        "p": normal_two_sided("_z"),
-        "tau": f"if(_n < {min_obs} or _n < 2, null, _s / (0.5D * _n * (_n - 1)))",
-    }
-    df = df.withColumn(out, F.struct(*[F.expr(e).alias(k) for k, e in fields.items()]))
-    return df.drop("_v", "_slopes", "_n", "_s", "_ties", "_var0", "_var", "_z")
-
-
-def hamed_rao(df: DataFrame, n_time: int, x: str = "ndvi", mk: str = "mk", out: str = "hr", cfg: Trend | None = None) -> DataFrame:
+    return add_struct(df, [x], out, MK, lambda m: K.mann_kendall(m, min_obs, ties))
+
+
+def hamed_rao(df: DataFrame, n_time: int, x: str = "ndvi", mk: str = "mk", out: str = "hr", cfg: Section | None = None) -> DataFrame:
     """Adds a struct z, p, ratio: Mann-Kendall with the variance scaled for the
     significant autocorrelation of the ranks of the detrended series.
 
     Ties of detrended values rank by time.  Lags run to a fraction of the record
     length; weights and bounds use the number of points.
     """
-    cfg = cfg or Trend()
-    quantile = NORMAL_QUANTILE[cfg.hr_significance_level]
-    last = max(1, int(n_time * cfg.hr_max_lag_fraction))
-    df = pair_slopes(df, x).withColumn("_slope", F.expr(median("_slopes")))
-    df = df.withColumn("_n", F.expr("cast(size(_v) as double)"))
-    df = df.withColumn("_order", F.expr("array_sort(transform(_v, p -> named_struct('d', p.x - _slope * p.t, 't', p.t)))"))
-    df = df.withColumn("_ranks", F.expr("map_from_entries(transform(_order, (p, i) -> named_struct('t', p.t, 'c', i + 1 - (_n + 1) / 2)))"))
-    df = df.withColumn("_c", F.expr(f"transform(sequence(0, {n_time - 1}), t -> element_at(_ranks, t))"))
-    df = df.withColumn("_den", F.expr(total("filter(_c, c -> c is not null)", "p * p")))
-    lagged = f"aggregate(sequence(0, {n_time - 1} - lag), 0D, (a, t) -> a + coalesce(get(_c, t) * get(_c, t + lag), 0D))"
-    df = df.withColumn("_rho", F.expr(f"transform(sequence(1, {last}), lag -> named_struct('lag', lag, 'rho', if(_den > 0, {lagged} / _den, 0D)))"))
-    kept = f"_n - q.lag > 2 and abs(q.rho) > {quantile}D / sqrt(_n - q.lag)"
-    weight = "(_n - p.lag) * (_n - p.lag - 1) * (_n - p.lag - 2)"
-    df = df.withColumn("_f", F.expr(total(f"filter(_rho, q -> {kept})", f"if({weight} > 0, {weight} * p.rho, 0D)")))
-    df = df.withColumn("_ratio", F.expr("least(20D, greatest(0.05D, 1 + if(_n > 2, 2 / (_n * (_n - 1) * (_n - 2)) * _f, 0D)))"))
-    z = f"if({mk}.var is null, null, if({mk}.s > 0, ({mk}.s - 1) / sqrt({mk}.var * _ratio), if({mk}.s < 0, ({mk}.s + 1) / sqrt({mk}.var * _ratio), 0D)))"
-    df = df.withColumn("_z", F.expr(z))
-    df = df.withColumn(out, F.struct(F.col("_z").alias("z"), F.expr(normal_two_sided("_z")).alias("p"), F.col("_ratio").alias("ratio")))
-    return df.drop("_v", "_slopes", "_slope", "_n", "_order", "_ranks", "_c", "_den", "_rho", "_f", "_ratio", "_z")
+    cfg = cfg or defaults("trend")
+    last, level = last_lag(n_time, cfg), cfg.hr_significance_level
+
+    def kernel(m, s, var):
+        slope = K.sens_slope(m, 0)["sen"]
+        return K.corrected(s, var, K.rank_autocorrelation(m, slope, last, level)["ratio"])
+
+    flat = df.withColumns({"__s": F.col(mk)["s"], "__var": F.col(mk)["var"]})
+    return add_struct(flat, [x, "__s", "__var"], out, HR, kernel).drop("__s", "__var")
 
 
 def ols_slope(df: DataFrame, x: str = "ndvi", out: str = "ols_slope") -> DataFrame:
     """Least-squares slope on time of at least two points."""
-    df = df.withColumn("_v", F.expr(points(x)))
-    df = df.withColumns({"_mt": F.expr(f"{total('_v', 'p.t')} / size(_v)"), "_mx": F.expr(f"{total('_v', 'p.x')} / size(_v)")})
-    top, bottom = total("_v", "(p.t - _mt) * (p.x - _mx)"), total("_v", "(p.t - _mt) * (p.t - _mt)")
-    return df.withColumn(out, F.expr(f"if(size(_v) < 2, null, {top} / {bottom})")).drop("_v", "_mt", "_mx")
+    return with_kernel(df, [x], [out], lambda m: {out: K.ols_slope(m)["slope"]})
 
 
 def pearson(df: DataFrame, x: str = "ndvi", y: str = "rain", out: str = "correlation", min_pairs: int = 3) -> DataFrame:
     """Correlation over the steps where both are observed."""
-    df = df.withColumn("_v", F.expr(both(x, y)))
-    df = df.withColumns({"_mx": F.expr(f"{total('_v', 'p.x')} / size(_v)"), "_my": F.expr(f"{total('_v', 'p.y')} / size(_v)")})
-    den = f"sqrt({total('_v', '(p.x - _mx) * (p.x - _mx)')} * {total('_v', '(p.y - _my) * (p.y - _my)')})"
-    df = df.withColumns({"_num": F.expr(total("_v", "(p.x - _mx) * (p.y - _my)")), "_den": F.expr(den)})
-    return df.withColumn(out, F.expr(f"if(size(_v) >= {min_pairs} and _den > 0, _num / _den, null)")).drop("_v", "_mx", "_my", "_num", "_den")
+    return with_kernel(df, [x, y], [out], lambda a, b: {out: K.pearson(a, b, min_pairs)["r"]})
 
 
-def restrend(df: DataFrame, x: str = "ndvi", r: str = "rain", out: str = "restrend", cfg: Restrend | None = None) -> DataFrame:
+def restrend_kernel(cfg: Section):
+    if cfg.method not in ("joint", "two_stage"):
+        raise ValueError("method must be 'joint' or 'two_stage'")
+    joint, least, r2, alpha, positive = cfg.method == "joint", cfg.min_obs, cfg.min_r2, cfg.alpha, cfg.require_positive_beta
+    return lambda x, r: K.restrend(x, r, joint, least, r2, alpha, positive)
+
+
+def restrend(df: DataFrame, x: str = "ndvi", r: str = "rain", out: str = "restrend", cfg: Section | None = None) -> DataFrame:
     """Adds a struct n, slope, p, r2, beta, beta_p, valid: the trend that is left
     when the covariate is accounted for.
 
@@ -99,48 +80,29 @@ def restrend(df: DataFrame, x: str = "ndvi", r: str = "rain", out: str = "restre
     one; ``two_stage`` fits time to the residuals of the covariate fit.  valid
     says whether the covariate relation is strong enough to adjust for at all.
     """
-    cfg = cfg or Restrend()
-    if cfg.method not in ("joint", "two_stage"):
-        raise ValueError("method must be 'joint' or 'two_stage'")
-    df = df.withColumn("_v", F.expr(both(x, r))).withColumn("_n", F.expr("cast(size(_v) as double)"))
-    df = df.withColumns({f"_m{k}": F.expr(f"{total('_v', f'p.{k}')} / _n") for k in "txy"})
-    sums = {a + b: F.expr(total("_v", f"(p.{a} - _m{a}) * (p.{b} - _m{b})")) for a, b in ("yy", "tt", "yt", "yx", "tx", "xx")}
-    df = df.withColumns({f"_{k}": v for k, v in sums.items()})
-    if cfg.method == "joint":
-        df = df.withColumn("_det", F.expr("_yy * _tt - _yt * _yt"))
-        df = df.withColumns(
-            {"_beta": F.expr("if(_det > 0, (_tt * _yx - _yt * _tx) / _det, null)"), "_slope": F.expr("if(_det > 0, (_yy * _tx - _yt * _yx) / _det, null)"), "_df": F.expr("greatest(_n - 3, 1D)")}
-        )
-        df = df.withColumn("_sse", F.expr(total("_v", "power(p.x - _mx - _beta * (p.y - _my) - _slope * (p.t - _mt), 2)")))
-        df = df.withColumn("_base", F.expr("_xx - if(_tt > 0, _tx * _tx / _tt, 0D)"))
-        df = df.withColumns(
-            {
-                "_r2": F.expr("if(_base > 0, 1 - _sse / _base, null)"),
-                "_tb": F.expr("if(_sse > 0, _beta / sqrt(_sse / _df * _tt / _det), null)"),
-                "_ts": F.expr("if(_sse > 0, _slope / sqrt(_sse / _df * _yy / _det), null)"),
-            }
-        )
-    else:
-        df = df.withColumn("_beta", F.expr("if(_yy > 0, _yx / _yy, null)")).withColumn("_df", F.expr("greatest(_n - 2, 1D)"))
-        df = df.withColumn("_sse1", F.expr(total("_v", "power(p.x - _mx - _beta * (p.y - _my), 2)")))
-        df = df.withColumn("_slope", F.expr("if(_tt > 0, (_tx - _beta * _yt) / _tt, null)"))
-        df = df.withColumn("_sse", F.expr(total("_v", "power(p.x - _mx - _beta * (p.y - _my) - _slope * (p.t - _mt), 2)")))
-        df = df.withColumns(
-            {
-                "_r2": F.expr("if(_xx > 0, 1 - _sse1 / _xx, null)"),
-                "_tb": F.expr("if(_n > 2 and _sse1 > 0, _beta / sqrt(_sse1 / (_n - 2) / _yy), null)"),
-                "_ts": F.expr("if(_n > 2 and _sse > 0, _slope / sqrt(_sse / (_n - 2) / _tt), null)"),
-            }
-        )
-    df = df.withColumns({"_pb": F.expr(student_two_sided("_tb", "_df")), "_ps": F.expr(student_two_sided("_ts", "_df"))})
-    valid = f"_n >= {cfg.min_obs} and _r2 >= {cfg.min_r2} and _pb < {cfg.alpha}" + (" and _beta > 0" if cfg.require_positive_beta else "")
-    enough = lambda c: F.expr(f"if(_n < {cfg.min_obs}, null, {c})")
-    df = df.withColumn(
-        out,
-        F.struct(
-            F.expr("cast(_n as int)").alias("n"),
-            *[enough(f"_{c}").alias(name) for c, name in (("slope", "slope"), ("ps", "p"), ("r2", "r2"), ("beta", "beta"), ("pb", "beta_p"))],
-            F.expr(f"coalesce({valid}, false)").alias("valid"),
-        ),
-    )
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return add_struct(df, [x, r], out, RESTREND, restrend_kernel(cfg or defaults("restrend")))
+
+
+def sen_line(df: DataFrame, x: str = "ndvi", out: str = "line") -> DataFrame:
+    """Adds an array: the Theil-Sen line through the medians of time and value,
+    at every step; null without two points."""
+    df = with_kernel(df, [x], ["__slope"], lambda m: {"__slope": K.sens_slope(m, 2)["sen"]})
+    v = f"sort_array(filter({x}, e -> e is not null))"
+    t = f"filter(transform({x}, (e, i) -> if(e is null, null, cast(i as double))), i -> i is not null)"
+    mid = lambda a: f"((element_at({a}, cast((size({a}) + 1) div 2 as int)) + element_at({a}, cast(size({a}) div 2 + 1 as int))) / 2)"
+    df = df.withColumns({"__v": F.expr(v), "__t": F.expr(t)})
+    line = f"if(__slope is null, null, transform({x}, (e, i) -> {mid('__v')} + __slope * (i - {mid('__t')})))"
+    return df.withColumn(out, F.expr(line)).drop("__slope", "__v", "__t")
+
+
+def restrend_residuals(df: DataFrame, x: str = "ndvi", r: str = "rain", out: str = "residual", least: int = 4) -> DataFrame:
+    """Adds an array: what covariate and time leave of each step of the series,
+    by least squares; null at unobserved steps and below ``least`` pairs."""
+    fields = {"n": "double", "slope": "double", "beta": "double"}
+    df = add_struct(df, [x, r], "__f", fields, lambda a, b: K.restrend(a, b, True, least, 0.0, 1.0, False))
+    pairs = f"filter(transform({x}, (e, i) -> named_struct('t', i, 'x', e, 'y', get({r}, i))), p -> p.x is not null and p.y is not null)"
+    df = df.withColumn("__p", F.expr(pairs))
+    mean = lambda k: f"aggregate(__p, 0D, (a, p) -> a + p.{k}) / size(__p)"
+    df = df.withColumns({f"__m{k}": F.expr(mean(k)) for k in "txy"})
+    left = f"transform({x}, (e, i) -> e - __mx - __f.beta * (get({r}, i) - __my) - __f.slope * (i - __mt))"
+    return df.withColumn(out, F.expr(f"if(__f.beta is null, null, {left})")).drop("__f", "__p", "__mt", "__mx", "__my")

@@ -1,7 +1,7 @@
 """The feature table: 48 columns of each series without a shuffle after the first.
 
-All estimators are projections of one row, so that after the series are made no
-data is shuffled again, whatever their number.
+All estimators are computed in one pass over the rows, so that after the series
+are made no data is shuffled or kept, whatever their number.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import kernels as K
+from ..functions.batches import packed, with_kernel
 from ..operators import breaks, quality, spectral, trend
-from ..series import sealed
 
-#: Columns by group, in the order of the table.
+# Columns by group, in the order of the table.
 GROUPS = {
     "vegetation": ["mean", "median_ndvi", "minimum_ndvi", "maximum_ndvi", "std", "cv", "amp", "sen", "ols_slope"],
     "trend": ["mk_z", "mk_p_value", "mk_tau", "mk_significant", "trend_direction"],
@@ -40,20 +41,34 @@ def feature_dictionary(spark) -> DataFrame:
 
 def estimates(series: DataFrame, n_time: int, cfg: Config | None = None) -> DataFrame:
     """The series with the structs of all estimators: mk, hr, fit, cyc, brk, rec,
-    ndvi_stats, rain_stats, and the scalars sen, ols_slope, rain_sen, correlation."""
+    ndvi_stats, rain_stats, and the scalars sen, ols_slope, rain_sen, correlation.
+
+    One pass over Arrow batches computes them all.
+    """
     cfg = cfg or Config()
-    df = sealed(quality.describe(quality.describe(series, "ndvi"), "rain"))
-    df = sealed(trend.mann_kendall(df, min_obs=cfg.trend.min_obs, ties=cfg.trend.apply_ties_correction))
-    df = sealed(trend.sens_slope(trend.sens_slope(df, min_obs=cfg.trend.min_obs), "rain", "rain_sen", cfg.trend.min_obs))
-    if cfg.trend.apply_autocorrelation_correction:
-        df = sealed(trend.hamed_rao(df, n_time, cfg=cfg.trend))
-    else:
-        df = df.withColumn("hr", F.struct("mk.z", "mk.p", F.lit(1.0).alias("ratio")))
-    df = sealed(trend.pearson(trend.ols_slope(df)))
-    df = sealed(trend.restrend(df, out="fit", cfg=cfg.restrend))
-    df = sealed(spectral.cyclicity(df, n_time, cfg=cfg.cyclicity))
-    df = sealed(breaks.breakpoint(df, n_time, cfg=cfg.breakpoint))
-    return sealed(breaks.recovery(df, n_time, cfg=cfg.recovery))
+    t = cfg.trend
+    least, ties, correct = t.min_obs, t.apply_ties_correction, t.apply_autocorrelation_correction
+    last, level = trend.last_lag(n_time, t), t.hr_significance_level
+    fit, cycle, cut, back = trend.restrend_kernel(cfg.restrend), spectral.kernel(n_time, cfg.cyclicity), breaks.break_kernel(cfg.breakpoint), breaks.recovery_kernel(cfg.recovery)
+    structs = {"mk": trend.MK, "hr": trend.HR, "fit": trend.RESTREND, "cyc": spectral.CYC, "brk": breaks.BRK, "rec": breaks.REC, "ndvi_stats": quality.STATS, "rain_stats": quality.STATS}
+    scalars = ["sen", "ols_slope", "rain_sen", "correlation"]
+    made = {(s, f): f"__{s}_{f}" for s, fields in structs.items() for f in fields}
+
+    def kernel(x, r):
+        mk = K.mann_kendall(x, least, ties)
+        ratio = K.rank_autocorrelation(x, mk["any_sen"], last, level)["ratio"] if correct else None
+        brk = cut(x)
+        got = {
+            "mk": mk, "hr": K.corrected(mk["s"], mk["var"], ratio) if correct else {"z": mk["z"], "p": mk["p"], "ratio": mk["z"] * 0 + 1},
+            "fit": fit(x, r), "cyc": cycle(x), "brk": brk, "rec": back(x, brk["index"]), "ndvi_stats": K.describe(x), "rain_stats": K.describe(r),
+        }
+        flat = {made[s, f]: v for s, fields in got.items() for f, v in fields.items() if (s, f) in made}
+        return flat | {"sen": mk["sen"], "ols_slope": K.ols_slope(x)["slope"], "rain_sen": K.sens_slope(r, least)["sen"], "correlation": K.pearson(x, r, 3)["r"]}
+
+    df = with_kernel(series, ["ndvi", "rain"], [*made.values(), *scalars], kernel)
+    for s, fields in structs.items():
+        df = packed(df, s, fields, {f: made[s, f] for f in fields})
+    return df
 
 
 def feature_table(series: DataFrame, n_time: int, cfg: Config | None = None) -> DataFrame:
@@ -82,4 +97,4 @@ def feature_table(series: DataFrame, n_time: int, cfg: Config | None = None) ->
         "recovery_duration": at_drop("rec.recovery_duration"), "recovery_slope": at_drop("rec.recovery_slope"), "recovery_status": "cast(rec.status as double)",
         "n_valid_ndvi": "cast(ndvi_stats.n as double)", "n_valid_pairs": "cast(fit.n as double)",
     }
-    return sealed(df.select("pixel_id", *[F.expr(columns[c]).alias(c) for c in feature_names()]))
+    return df.select("pixel_id", *[F.expr(columns[c]).alias(c) for c in feature_names()])

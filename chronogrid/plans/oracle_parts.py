@@ -133,11 +133,13 @@ def breaks(n_time: int) -> str:
 ), two AS (
   SELECT a.pixel_id, a.k, a.sse + b.sse AS sse, b.slope - a.slope AS d FROM seg a JOIN seg b ON a.pixel_id = b.pixel_id AND a.k = b.k AND NOT a.side AND b.side
   WHERE a.n >= 4 AND b.n >= 4
-), best AS (
-  SELECT pixel_id, arg_min(k, (round(sse, 10), k)) AS k, arg_min(sse, (round(sse, 10), k)) AS sse, arg_min(d, (round(sse, 10), k)) AS d FROM two GROUP BY 1
 ), one AS (
   SELECT pixel_id, count(x) AS n, count(x) * var_pop(x) AS v, greatest(0.0, count(x) * (var_pop(x) - covar_pop(t, x) * covar_pop(t, x) / nullif(var_pop(t), 0))) AS sse1
   FROM s WHERE x IS NOT NULL GROUP BY 1
+), rel AS (
+  SELECT two.*, round(sse / CASE WHEN sse1 > 0 THEN sse1 ELSE 1 END, 10) AS r FROM two JOIN one USING (pixel_id)
+), best AS (
+  SELECT pixel_id, arg_min(k, (r, k)) AS k, arg_min(sse, (r, k)) AS sse, arg_min(d, (r, k)) AS d FROM rel GROUP BY 1
 ), b0 AS (
   SELECT p.pixel_id, k, sse, d, n, sse1, coalesce(k IS NOT NULL AND sse1 > 1e-10 * greatest(v, 1e-30), false) AS ok
   FROM (SELECT DISTINCT pixel_id FROM s) p LEFT JOIN best USING (pixel_id) LEFT JOIN one USING (pixel_id)
