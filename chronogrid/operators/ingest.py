@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SENSORS = (
     ("LANDSAT9_OLI2", 2.75e-05, -0.2, 0.9589, 0.0029),
     ("SENTINEL2_MSI", 1e-4, 0.0, None, None),
 )
+BANDS = ("blue", "red", "nir", "swir1", "swir2")
 #: Numerator, denominator of each index over reflectance columns.
 INDICES = {
     "ndvi": ("nir - red", "nir + red"),
@@ -79,11 +82,25 @@ def cloud_prefilter(scenes: DataFrame, most: float = 80.0) -> DataFrame:
 
 def scene_index(observations: DataFrame, index: str = "ndvi") -> DataFrame:
     """Scale, mask, index and harmonise observations of scenes: adds value, null
-    where the observation cannot be used.  Columns: sensor, red, nir, qa, radsat."""
-    known = sensor_table(observations.sparkSession)
-    joined = observations.join(F.broadcast(known.select("sensor", "scale", "offset")), "sensor")
-    bands = {b: scale_factors(F.col(b), F.col("scale"), F.col("offset")) for b in ("red", "nir") if b in observations.columns}
-    valued = joined.withColumns(bands).withColumn("value", F.when(qa_usable(F.col("qa"), F.col("radsat")), spectral_index(index)))
+    where the observation cannot be used.
+
+    Columns: sensor, qa, radsat, and the bands that the index names, all of which
+    are scaled.  An unknown sensor and a missing quality word fail the query.
+    """
+    if index not in INDICES:
+        raise ValueError(f"unknown index {index!r}; there are {sorted(INDICES)}")
+    used = [b for b in BANDS if re.search(rf"\b{b}\b", " ".join(INDICES[index]))]
+    missing = [c for c in ("sensor", "qa", *used) if c not in observations.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    known = sensor_table(observations.sparkSession).select("sensor", "scale", "offset")
+    joined = observations.join(F.broadcast(known), "sensor", "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(F.col("sensor"), F.lit("null"))))
+    scale = F.when(F.col("scale").isNull(), fail("no scale factors for sensor ").cast("double")).otherwise(F.col("scale"))
+    qa = F.when(F.col("qa").isNull(), fail("a missing quality word from sensor ").cast("int")).otherwise(F.col("qa"))
+    radsat = F.col("radsat") if "radsat" in observations.columns else None
+    scaled = joined.withColumns({b: scale_factors(F.col(b), scale, F.col("offset")) for b in used})
+    valued = scaled.withColumn("value", F.when(qa_usable(qa, radsat), spectral_index(index)))
     return harmonise(valued, "value").drop("scale", "offset")
 
 
@@ -94,3 +111,14 @@ def block_aggregate(cells: DataFrame, factor: int, height: int, width: int, valu
     return inside.groupBy(F.expr(f"cast(row div {factor} as int)").alias("block_row"), F.expr(f"cast(col div {factor} as int)").alias("block_col")).agg(
         F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n_valid"), F.stddev_pop(value).alias("std")
     )
+
+
+def clean_rain(values: DataFrame, value: str = "rain", nodata: float = -9998.0) -> DataFrame:
+    """Values at or below the no-data mark become null."""
+    return values.withColumn(value, F.when(F.col(value) > nodata, F.col(value)))
+
+
+def describe_indices(spark: SparkSession) -> DataFrame:
+    """index, numerator, denominator, bands of every spectral index."""
+    rows = [(n, a, b, [x for x in BANDS if re.search(rf"\b{x}\b", a + " " + b)]) for n, (a, b) in INDICES.items()]
+    return spark.createDataFrame(rows, "index string, numerator string, denominator string, bands array<string>")

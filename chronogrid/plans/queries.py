@@ -166,7 +166,7 @@ add("harmonise", f"WITH {demo.OBSERVATIONS_SQL} SELECT scene_id, sensor, {cols(v
 add("cloud_prefilter", f"WITH {REFL} SELECT scene_id, coalesce(cloud_cover > 80, false) AS skipped FROM sc")(lambda s, d: ingest.cloud_prefilter(demo.scenes(s, d)).select("scene_id", "skipped"))
 add("sensor_table", f"WITH {REFL} SELECT sensor, scale, off AS \"offset\", gain, bias FROM sensors")(lambda s, d: ingest.sensor_table(s))
 QUERIES["sensor_table"] = lambda s, d: ingest.sensor_table(s)
-add("block_aggregate", f"WITH {demo.CELLS_SQL} SELECT (row // 3)::INTEGER AS block_row, (col // 3)::INTEGER AS block_col, {cols(mean='avg(value)', median='median(value)', std='stddev_pop(value)')}, count(value) AS n_valid FROM ce WHERE row < 48 AND col < 39 GROUP BY 1, 2")(
+add("block_aggregate", f"WITH {demo.CELLS_SQL} SELECT (row // 3)::INTEGER AS block_row, (col // 3)::INTEGER AS block_col, {cols(mean='avg(value)', median='median(value)', std='stddev_pop(value)')}, count(value) AS n_valid FROM ce WHERE row < (SELECT greatest(50, max(row) + 1) // 3 * 3 FROM ce) AND col < 39 GROUP BY 1, 2")(
     _aggregated
 )
 
@@ -321,7 +321,7 @@ EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for r in RINGS for a, b in
 add("polygon_mask", f"WITH {demo.CELLS_SQL}, ed(x1, y1, x2, y2) AS (VALUES {EDGES}) SELECT pixel_id, count(*) FILTER ((y1 > row + 0.5) <> (y2 > row + 0.5) AND col + 0.5 < (x2 - x1) * (row + 0.5 - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS inside FROM ce CROSS JOIN ed GROUP BY 1")(
     lambda s, d: spatial.inside_polygon(demo.grid_cells(s, d).selectExpr("pixel_id", "col + 0.5D as x", "row + 0.5D as y"), spatial.polygon_edges(s, RINGS)).select("pixel_id", "inside")
 )
-TARGET = "tg AS (SELECT (i // 25)::INTEGER AS row, (i % 25)::INTEGER AS col FROM (SELECT unnest(range(750)) AS i))"
+TARGET = "tg AS (SELECT (i // 25)::INTEGER AS row, (i % 25)::INTEGER AS col FROM (SELECT unnest(range(25 * greatest(30, ceil((coalesce(max(row) + 1, 0) - 0.3) / 1.6 - 0.5))::BIGINT)) AS i FROM ce))"
 
 
 def _target(cells: DataFrame) -> DataFrame:
@@ -351,13 +351,13 @@ add("grid_alignment", "SELECT * FROM (VALUES ('same', 0, ''), ('shifted', 3, 'or
 add("temporal_alignment", "SELECT 83::BIGINT AS n_first, 83::BIGINT AS n_second, 83::BIGINT AS n_differ, true AS second_lags, false AS second_leads, true AS ascending")(
     lambda s, d: spatial.temporal_alignment(windows.monthly_windows(s, 1995, 2001).where("t < 83").select("t", "label"), windows.monthly_windows(s, 1994, 2001).selectExpr("t - 11 as t", "label").where("t between 0 and 82"))
 )
-add("unflatten", f"WITH {demo.CELLS_SQL} SELECT (i // 40)::INTEGER AS row, (i % 40)::INTEGER AS col, {cols(value='value')} FROM (SELECT unnest(range(2080)) AS i) LEFT JOIN ce ON pixel_id = i")(_unflattened)
+add("unflatten", f"WITH {demo.CELLS_SQL} SELECT (i // 40)::INTEGER AS row, (i % 40)::INTEGER AS col, {cols(value='value')} FROM (SELECT unnest(range((40 * greatest(52, max(row) + 1))::BIGINT)) AS i FROM ce) LEFT JOIN ce ON pixel_id = i")(_unflattened)
 add("utm_zone", "SELECT c_custkey, (floor(((c_custkey * 7) % 360 - 180 + 180) / 6)::INTEGER % 60 + 1)::INTEGER AS zone FROM customer")(lambda s, d: S.table(s, d, "customer").select("c_custkey", spatial.utm_zone(F.expr("(c_custkey * 7) % 360 - 180")).alias("zone")))
 
 # ---------------------------------------------------------------- joins and ranks
 
-PAIR = f"""{demo.SCENES_SQL}, oli AS (SELECT scene_id, obs_date FROM sc WHERE sensor IN ('LANDSAT8_OLI', 'LANDSAT9_OLI2') AND pixel_id = 3), tm AS (SELECT scene_id, obs_date FROM sc WHERE sensor IN ('LANDSAT5_TM', 'LANDSAT7_ETM') AND pixel_id = 3
-), near AS (SELECT o.scene_id AS left_id, t.scene_id AS right_id, abs(t.obs_date - o.obs_date) AS gap, t.obs_date FROM oli o JOIN tm t ON abs(t.obs_date - o.obs_date) <= 45)"""
+PAIR = f"""{demo.SCENES_SQL}, oli AS (SELECT scene_id, pixel_id, obs_date FROM sc WHERE sensor IN ('LANDSAT8_OLI', 'LANDSAT9_OLI2')), tm AS (SELECT scene_id, pixel_id, obs_date FROM sc WHERE sensor IN ('LANDSAT5_TM', 'LANDSAT7_ETM')
+), near AS (SELECT o.scene_id AS left_id, t.scene_id AS right_id, abs(t.obs_date - o.obs_date) AS gap, t.obs_date FROM oli o JOIN tm t ON o.pixel_id = t.pixel_id AND abs(t.obs_date - o.obs_date) <= 45)"""
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -371,7 +371,7 @@ add("rank_average", f"WITH v AS (SELECT p_partkey, p_size FROM part), c AS (SELE
 add("run_compare", f"WITH a AS (SELECT o_orderpriority AS quantity, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1996 AND o_orderpriority < '5' GROUP BY 1), b AS (SELECT o_orderpriority AS quantity, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1997 AND o_orderpriority > '2' GROUP BY 1) SELECT quantity, a.v AS before, b.v AS after, b.v - a.v AS change FROM a FULL JOIN b USING (quantity)")(
     lambda s, d: joins.compare_runs(*[S.table(s, d, "orders").where(c).groupBy(F.col("o_orderpriority").alias("quantity")).agg(F.count(F.lit(1)).cast("double").alias("value")) for c in ("year(o_orderdate) = 1996 and o_orderpriority < '5'", "year(o_orderdate) = 1997 and o_orderpriority > '2'")])
 )
-add("sensor_years", f"WITH {demo.SCENES_SQL} SELECT year(obs_date)::INTEGER AS year, string_agg(DISTINCT sensor, '+' ORDER BY sensor) AS sensors, count(*) AS n_scenes FROM sc WHERE scene_id % 97 = 0 GROUP BY 1")(lambda s, d: joins.sensor_years(demo.scenes(s, d)))
+add("sensor_years", f"WITH {demo.SCENES_SQL} SELECT year(obs_date)::INTEGER AS year, string_agg(DISTINCT sensor, '+' ORDER BY sensor) AS sensors, count(*) AS n_scenes FROM sc GROUP BY 1")(lambda s, d: joins.sensor_years(demo.scenes(s, d)))
 add("common_set", f"WITH {demo.METHODS_SQL} SELECT method, pixel_id FROM mf WHERE pixel_id IN (SELECT pixel_id FROM mf WHERE evaluated GROUP BY 1 HAVING count(*) = 3)")(lambda s, d: joins.common_set(demo.method_flags(s, d)).select("method", "pixel_id"))
 add("calendar_join", "SELECT c_mktsegment, count(o_orderkey) AS n_orders, count(DISTINCT c_custkey) AS n_customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND year(o_orderdate) = 1998 GROUP BY 1")(
     lambda s, d: S.table(s, d, "customer").join(S.table(s, d, "orders").where("year(o_orderdate) = 1998"), F.expr("o_custkey = c_custkey"), "left").groupBy("c_mktsegment").agg(F.count("o_orderkey").alias("n_orders"), F.count_distinct("c_custkey").alias("n_customers"))
@@ -421,9 +421,6 @@ def _history(s: SparkSession) -> Callable[[DataFrame], DataFrame]:
 
 
 add("no_lookahead", "SELECT 0::BIGINT AS n_changed")(lambda s, d: evaluation.no_lookahead(_history(s), S.to_long(S.supplier_months(s, d)), 54))
-add("ablation_groups", "SELECT * FROM (VALUES ('A', 14), ('B', 25), ('C', 31), ('D', 46)) v(experiment, n_features)")(
-    lambda s, d: s.createDataFrame([(k, len(feature_names(g))) for k, g in (("A", ["vegetation", "trend"]), ("B", ["vegetation", "trend", "rainfall", "restrend"]), ("C", ["vegetation", "trend", "rainfall", "restrend", "cyclicity"]), ("D", [g for g in GROUPS if g != "diagnostic"]))], "experiment string, n_features int")
-)
 add("welch_step", f"WITH {demo.OBSERVATIONS_SQL}, y AS (SELECT year(obs_date) AS year, avg(value) AS v FROM ob GROUP BY 1), g AS (SELECT avg(v) FILTER (year < 1998) AS a, avg(v) FILTER (year >= 1998) AS b, var_samp(v) FILTER (year < 1998) / count(*) FILTER (year < 1998) + var_samp(v) FILTER (year >= 1998) / count(*) FILTER (year >= 1998) AS e, count(*) AS n FROM y HAVING count(*) FILTER (v IS NOT NULL AND year < 1998) >= 3 AND count(*) FILTER (v IS NOT NULL AND year >= 1998) >= 3) SELECT {cols(step='b - a', error='sqrt(e)', t='(b - a) / sqrt(e)', equivalent_slope='(b - a) / (n / 2)')} FROM g")(
     lambda s, d: evaluation.welch_step(demo.observations(s, d).groupBy(F.year("obs_date").alias("year")).agg(F.avg("value").alias("value")), 1998)
 )
@@ -443,3 +440,6 @@ def _forest_samples(s: SparkSession, d: str) -> DataFrame:
 
 FOREST = Config().override("forest.n_trees", 30).forest
 add("rf_spatial_cv", None)(lambda s, d: models.spatial_cv(_forest_samples(s, d), feature_names(["rainfall", "restrend", "cyclicity"]), "label", 3, FOREST))
+
+
+from . import study  # noqa: E402, F401  registers its queries here
