@@ -34,6 +34,14 @@ _LAST = 0x2000
 _SLICE = 1 << 17
 
 
+def byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level BPE:
+    printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class MergeEncoder:
     """Exact BPE of single words, from a vocabulary and ranked merges."""
 
@@ -130,7 +138,9 @@ class WordTokenizer:
         kinds = [n["type"] for n in d["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or d.get("decoder"):
             raise ValueError("not the kind of tokenizer file that this encoder reads")
-        # normalisation and splitting into words are the library's own; the merges are not
+        # normalisation and splitting into words are the library's own, but for
+        # chunks of characters that are in no doubt; the merges are not
+        self.split, self.symbols = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), byte_symbols()
         library = Tokenizer.from_str(json.dumps(d | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.bpe = MergeEncoder(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
@@ -139,10 +149,18 @@ class WordTokenizer:
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.names = OffsetTable([names.get(i, "") + " " for i in range(max(names) + 1)])
         self.digits = OffsetTable([f"{i} " for i in range(max(names) + 1)])
-        each = lambda words: [self._normal(w) for w in words]
+        each = lambda words: [self._plain(w) for w in words]
         self.bare = Chunks(each, {"": b""} | {m: self._normal(m) for m in ",."}, True)
         self.whole = Chunks(each, {"": b""}, False)
 
+    def _plain(self, chunk: str) -> bytes:
+        """Of a chunk that ``chunks.plain`` lets through: NFC changes nothing there,
+        and lower case goes by character."""
+        ids: list[int] = []
+        for w in self.split.findall(chunk.lower()):
+            ids += self.bpe.word(w.encode().decode("latin-1").translate(self.symbols))
+        return np.array(ids, "<u4").tobytes()
+
     def _normal(self, text: str) -> bytes:
         ids: list[int] = []
         for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):

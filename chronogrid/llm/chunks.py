@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable
 
 #: Chunks kept by a Python worker; a full cache is emptied, which costs only time.
-LIMIT = 400_000
+LIMIT = 600_000
 #: Marks that must stay together: a text with them is not split at its marks.
 RUNS = (",, ", "., ", ",. ", ".. ")
 #: What a chunk may hold: characters whose class no library version disputes,
