@@ -151,7 +151,7 @@ class WordTokenizer:
         self.digits = OffsetTable([f"{i} " for i in range(max(names) + 1)])
         each = lambda words: [self._plain(w) for w in words]
         self.bare = Chunks(each, {"": b""} | {m: self._normal(m) for m in ",."}, True)
-        self.whole = Chunks(each, {"": b""}, False)
+        self.whole = Chunks(each, {"": b""}, False, self.bare)
 
     def _plain(self, chunk: str) -> bytes:
         """Of a chunk that ``chunks.plain`` lets through: NFC changes nothing there,

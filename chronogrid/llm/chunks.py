@@ -9,6 +9,8 @@ another way.
 
 from __future__ import annotations
 
+from __future__ import annotations
+
 import re
 from collections.abc import Callable
 
@@ -28,10 +30,12 @@ def plain(chunk: str) -> bool:
 class Chunks:
     """``encode`` turns a list of chunks into a list of bytes; ``fixed`` are
     chunks with bytes of their own; with ``bare``, other chunks that do not end
-    in a letter or digit, as lower case, spoil a text."""
+    in a letter or digit, as lower case, spoil a text; what ``other``
+    knows is not encoded again."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool, other: Chunks | None = None):
         self.encode, self.fixed, self.bare = encode, fixed, bare
+        self.other: dict[str, bytes | bool] = other.known if other else {}
         self.known: dict[str, bytes | bool] = dict(fixed)
 
     def get(self, words: list[str]) -> bytes | None:
@@ -47,6 +51,9 @@ class Chunks:
                 new -= self.fixed.keys()
             good = [w for w in new if plain(w) and (not self.bare or w.lower()[-1].isalnum())]
             known.update(dict.fromkeys(new, False))
+            for w in good:
+                known[w] = self.other.get(w, False)
+            good = [w for w in good if not known[w]]
             if good:
                 known.update(zip(good, self.encode(good)))
             for i in holes:

@@ -63,7 +63,9 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.end = self._bytes([end_id])
         marks = {_COMMA: self._all([","])[0], _STOP: self._all(["."])[0]}
-        self.bare, self.whole = Chunks(self._chunks, marks, True), Chunks(self._chunks, {}, False)
+        self.bare = Chunks(self._chunks, marks, True)
+        self.whole = Chunks(self._chunks, {}, False, self.bare)
+        self.line = np.frombuffer(self._all(["\n"])[0], f"<u{self.width}")
 
     def _bytes(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -74,9 +76,24 @@ class Encoder:
     def _all(self, words: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _lines(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of each word after ``lead``, from one text with a word a line:
+        a line feed between other characters is one token by itself."""
+        ids = np.array(self.library.encode_batch_fast(["\n".join(lead + w for w in words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ()
+        if len(ends) != len(words) - 1:  # not so with this vocabulary
+            return self._all([lead + w for w in words])
+        raw = ids.tobytes()
+        starts = [0, *((ends + 1) * self.width).tolist()]
+        return [raw[i:j] for i, j in zip(starts, [*(ends * self.width).tolist(), len(raw)])]
+
     def _chunks(self, words: list[str]) -> list[bytes]:
-        lead = {_LINE: "\n", _FIRST: ""}
-        return self._all([lead[w[0]] + w[1:] if w[0] in lead else " " + w for w in words])
+        out = dict.fromkeys(words, b"")
+        for sign, lead, before in ((_LINE, "", self.line.tobytes()), (_FIRST, "", b""), ("", " ", b"")):
+            mine = [w for w in words if (w[0] == sign if sign else w[0] not in (_LINE, _FIRST))]
+            if mine:
+                out.update(zip(mine, (before + x for x in self._lines([w[1:] if sign else w for w in mine], lead))))
+        return [out[w] for w in words]
 
     def _cached(self, text: str) -> bytes | None:
         """By chunks, where a space before a character that is not white space
