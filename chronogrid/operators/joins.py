@@ -57,7 +57,7 @@ def representative(features: DataFrame, label: str = "trajectory", min_valid: in
     pool = features.withColumn("_some", enough).where((F.col("n_valid_ndvi") >= min_valid) | ~F.col("_some"))
     stats = pool.groupBy(label).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in defining], *[F.stddev_pop(c).alias(f"_s_{c}") for c in defining], F.count(F.lit(1)).alias("n_candidates"))
     term = lambda c: f"coalesce(abs({c} - _m_{c}) / if(_s_{c} > 0, _s_{c}, 1D), 0D)"
-    scored = pool.join(F.broadcast(stats), label).withColumn("_d", F.round(F.expr(" + ".join(map(term, defining))), 9))
+    scored = pool.join(stats, label).withColumn("_d", F.round(F.expr(" + ".join(map(term, defining))), 9))
     best = scored.groupBy(label).agg(F.min(F.struct("_d", "pixel_id")).alias("m"), F.first("n_candidates").alias("n_candidates"))
     return best.select(label, F.col("m.pixel_id").alias("pixel_id"), F.col("m._d").alias("distance"), "n_candidates")
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..series import checkpointed
+
 # Fixed value: the radius, in km, of the sphere with the area of WGS84.
 EARTH_RADIUS_KM = 6371.0072
 
@@ -29,12 +31,15 @@ def block_folds(pixels: DataFrame, size: int, width: int, n_folds: int, seed: in
     """Adds fold: whole blocks, in seeded hash order, dealt to folds in turn.
 
     Blocks are far fewer than pixels; their numbering is the only global step.
+    Fewer blocks than folds raise.
     """
     placed = blocks(pixels, size, width)
     ids = placed.select("block_id").distinct()
+    if len(ids.limit(n_folds).collect()) < n_folds:
+        raise ValueError(f"fewer blocks than {n_folds} folds")
     order = Window.orderBy(hash_order(seed, "block_id"))
     folds = ids.select("block_id", ((F.row_number().over(order) - 1) % n_folds).alias("fold"))
-    return placed.join(F.broadcast(folds), "block_id")
+    return placed.join(folds, "block_id")
 
 
 def buffered_training(samples: DataFrame, fold: int, buffer: int) -> DataFrame:
@@ -58,8 +63,18 @@ def buffer_separation(samples: DataFrame, fold: int) -> DataFrame:
     train = samples.where(F.col("fold") != fold).select(F.col("block_row").alias("r"), F.col("block_col").alias("c")).distinct()
     test = samples.where(F.col("fold") == fold).select("block_row", "block_col").distinct()
     far = F.greatest(F.abs(F.col("r") - F.col("block_row")), F.abs(F.col("c") - F.col("block_col")))
-    # distinct blocks on both sides: their number does not grow with the pixels' data
-    return train.join(F.broadcast(test)).agg(F.min(far).alias("minimum_block_distance"))
+    extent = train.agg(F.max("r") - F.min("r"), F.max("c") - F.min("c")).first()
+    most = test.agg(F.max(F.abs("block_row")), F.max(F.abs("block_col"))).first()
+    end, reach = 2 * (sum(x or 0 for x in extent) + sum(x or 0 for x in most) + 1), 1
+    while True:  # blocks within ``reach`` of each other lie in neighbouring cells of that size
+        cell = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
+        near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: E731, B023
+        spread = test.withColumn("u", near("block_row")).withColumn("v", near("block_col"))
+        found = train.withColumns({"u": cell("r"), "v": cell("c")}).join(spread, ["u", "v"]).agg(F.min(far).alias("minimum_block_distance"))
+        least = found.first()[0]
+        if (least is not None and least <= reach) or reach > end:
+            return found
+        reach *= 2
 
 
 def pixel_area(pixels: DataFrame, top: float, step: float, geographic: bool = True) -> DataFrame:
@@ -186,17 +201,34 @@ def connected_regions(cells: DataFrame, label: str) -> DataFrame:
     """row, col, label, region: cells of one label that touch by an edge share the
     smallest cell number of their region.
 
-    Labels travel along edges of the cell graph until none changes; rows are cut
-    from their lineage by a checkpoint in each round.
+    In each round a cell takes the smallest region among its neighbours', and then
+    that region's own region, so that rounds grow with the logarithm of a region's
+    length; a checkpoint ends each round's lineage.
     """
-    cells = cells.where(F.col(label).isNotNull()).select("row", "col", label)
-    own = cells.withColumn("region", F.struct("row", "col"))
+    own = checkpointed(cells.where(F.col(label).isNotNull()).select("row", "col", label, F.struct("row", "col").alias("region")))
     while True:
         moved = own.select(F.explode(F.expr("array(struct(row - 1 as row, col as col), struct(row + 1 as row, col as col), struct(row as row, col - 1 as col), struct(row as row, col + 1 as col))")).alias("n"), label, "region")
         near = moved.select("n.row", "n.col", label, "region").groupBy("row", "col", label).agg(F.min("region").alias("other"))
-        new = own.join(near, ["row", "col", label], "left").select("row", "col", label, F.least("region", "other").alias("region"), (F.col("other") < F.col("region")).alias("moved"))
-        new = new.persist()
-        changed = new.where("moved").isEmpty()
+        step = own.join(near, ["row", "col", label], "left").select("row", "col", label, F.col("region").alias("was"), F.least("region", "other").alias("region"))
+        jump = own.select(F.struct("row", "col").alias("region"), F.col("region").alias("further"))
+        new = step.join(jump, "region").select("row", "col", label, "was", F.least("region", "further").alias("region"))
+        new = checkpointed(new)
+        done = new.where("region < was").isEmpty()
         own = new.select("row", "col", label, "region")
-        if changed:
+        if done:
             return own.select("row", "col", label, F.col("region.row").alias("region_row"), F.col("region.col").alias("region_col"))
+
+
+def align_to_reference(cells: DataFrame, target: DataFrame, scale: float, shift: float, kind: str = "continuous") -> DataFrame:
+    """The cells on the target grid: continuous values by bilinear weights,
+    categories by the nearest cell, so that no class is invented."""
+    methods = {"continuous": "bilinear", "categorical": "nearest"}
+    if kind not in methods:
+        raise ValueError(f"kind must be one of {sorted(methods)}")
+    return regrid(cells, target, scale, shift, methods[kind])
+
+
+def require_alignment(a: dict, b: dict, tolerance: float = 1e-6) -> None:
+    """Raises with all problems, if two grids do not match."""
+    if problems := grid_alignment(a, b, tolerance):
+        raise ValueError(f"the grids differ: {', '.join(problems)}")

@@ -87,6 +87,12 @@ add("results_table", f"WITH {FT83}, a AS (SELECT {', '.join(f'({e})::DOUBLE AS {
     lambda s, d: tables.results_table(demo.supplier_features(s, d), 0.09)
 )
 
+add("connected_regions", f"""WITH RECURSIVE {demo.CELLS_SQL}, lc AS (SELECT row, col, floor(value / 250)::INTEGER AS class FROM ce WHERE value IS NOT NULL
+), rg(row, col, class, a, b) AS (SELECT row, col, class, row, col FROM lc UNION SELECT n.row, n.col, n.class, rg.a, rg.b FROM rg JOIN lc n ON n.class = rg.class AND abs(n.row - rg.row) + abs(n.col - rg.col) = 1)
+SELECT row, col, class, min((a, b))[1] AS region_row, min((a, b))[2] AS region_col FROM rg GROUP BY 1, 2, 3""")(
+    lambda s, d: spatial.connected_regions(demo.grid_cells(s, d).withColumn("class", F.expr("cast(floor(value / 250) as int)")), "class")
+)
+
 # ---------------------------------------------------------------- experiments
 
 add("ablation_cells", "SELECT * FROM (VALUES ('A', 'A_basic_vegetation', 9), ('B', 'B_basic_trend', 14), ('C', 'C_add_restrend', 20), ('D', 'D_add_cyclicity', 26), ('E', 'E_add_disturbance', 41), ('F', 'F_full', 46)) v(experiment, name, n_features)")(

@@ -7,6 +7,7 @@ the one shuffle by pixel that makes it, every estimator is a projection.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,19 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder that ``spark.checkpoint.dir``
+    names; only in local mode, where it is unset, a folder of this process."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def to_arrays(cells: DataFrame, n_time: int, values: Iterable[str] = ("ndvi", "rain")) -> DataFrame:
     """(pixel_id, t, values...) rows to one row of arrays for each pixel.
 

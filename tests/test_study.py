@@ -135,3 +135,39 @@ def test_kernels_against_loops():
         whole = (1 + tails * tails / df) ** (-(df + 1) / 2)
         assert p[k] == pytest.approx(1 - np.trapezoid(density, at) / np.trapezoid(whole, tails), abs=1e-6)
     assert np.isnan(p[2])
+
+
+def test_sql_functions(spark):
+    from chronogrid.functions import sql
+
+    assert "sens_slope" in sql.register(spark)
+    spark.createDataFrame([(1, [float(2 * i) for i in range(12)]), (2, None), (3, [1.0, None] * 6)], "id int, x array<double>").createOrReplaceTempView("series_in")
+    got = {r.id: r for r in spark.sql("select id, sens_slope(x) as s, mk_s(x) as k, series_corr(x, x) as c from series_in").collect()}
+    assert got[1].s == 2 and got[1].k == 66 and got[1].c == pytest.approx(1) and got[2].s is None and got[3].k == 0
+
+
+def test_regions_and_alignment(spark):
+    from chronogrid.operators import spatial
+
+    rows = [(0, c, 1) for c in range(30)] + [(r, 29, 1) for r in range(1, 20)] + [(19, c, 1) for c in range(10)] + [(5, 5, 2)]
+    cells = spark.createDataFrame(rows, "row int, col int, class int")
+    got = {(r.row, r.col): (r.region_row, r.region_col) for r in spatial.connected_regions(cells, "class").collect()}
+    assert got[19, 29] == (0, 0) and got[19, 5] == (19, 0) and got[5, 5] == (5, 5) and len(got) == len(rows)
+    grid = {"crs": "x", "a": 0.1, "b": 0.0, "c": 90.0, "d": 0.0, "e": -0.1, "f": 26.0, "height": 50, "width": 40}
+    spatial.require_alignment(grid, dict(grid))
+    with pytest.raises(ValueError, match="origin"):
+        spatial.require_alignment(grid, grid | {"c": 90.05})
+    with pytest.raises(ValueError):
+        spatial.align_to_reference(cells, cells, 1.0, 0.0, "other")
+
+
+def test_buffer_separation_and_too_few_blocks(spark):
+    from chronogrid.operators import spatial
+
+    rng = np.random.default_rng(2)
+    spots = [(int(a), int(b), 0) for a, b in rng.integers(0, 20, (5, 2))] + [(int(a) + 45, int(b), 1) for a, b in rng.integers(0, 20, (5, 2))]
+    df = spark.createDataFrame(spots, "block_row int, block_col int, fold int")
+    want = min(max(abs(a - c), abs(b - d)) for a, b, f in spots for c, d, g in spots if f == 0 and g == 1)
+    assert spatial.buffer_separation(df, 0).first()[0] == want
+    with pytest.raises(ValueError, match="fewer blocks"):
+        spatial.block_folds(spark.createDataFrame([(0, 0, 0)], "pixel_id long, row int, col int"), 2, 10, 3)
