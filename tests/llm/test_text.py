@@ -186,3 +186,52 @@ def test_long_words_take_linear_time():
         own.encode(word[:n])
         took.append(time.process_time() - t)
     assert took[1] < 10 * max(took[0], 0.05), took
+
+
+def test_language_held_out(spark):
+    """Accuracy on rows that the model may not learn from; the sparse product
+    against gathering row by row; odd tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, table = language.fit(docs)
+    unseen = docs.where(language.held_out())
+    got = language.predict(unseen, langs, table).join(unseen, "doc_id")
+    assert got.where("lang_pred = lang").count() >= 0.95 * got.count() > 0
+    rows = [language.counts(language.codes(t)) for t in ("hello there", "über", "x")]
+    for (at, n), total in zip(rows, language.multiply(rows, table)):
+        assert total == pytest.approx((table[np.repeat(at, n)].astype(float)).sum(axis=0))
+    odd = spark.createDataFrame([(1, "the and of", "zz", 1), (1, "the and of", "zz", 1), (None, "the " * 60_000, None, 2)], "doc_id long, text string, lang_pred string, score int")
+    assert language.predict(odd, langs, table).count() == 3
+    assert language.predict(odd.limit(0), langs, table).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, "x", "y", "z"), (1, "a b c d e", 5, "x", "y", "z"), (None, None, None, None, None, None)], "doc_id long, text string, ids int, n_shingles string, component_id string, kept string")
+    none = docs.limit(0)
+    path = bpe.vocabulary("word_bpe_49k.json")
+    encoded = bpe.encode(docs, path)
+    assert sorted(map(str, (r.doc_id for r in encoded.collect()))) == ["1", "1", "None"]
+    back = [r.text for r in bpe.decode(encoded, path).collect()]
+    assert sorted(back) == ["", "a</w> b</w> c</w> d</w> e</w>", "a</w> b</w> c</w> d</w> e</w>"]
+    assert bpe.digests(none, path).count() == 0 and bpe.decode(bpe.encode(none, path), path).count() == 0
+    kept = near_dedup.dedup_near(docs)
+    assert kept.columns == docs.columns and kept.count() == 2 and kept.where("kept = 'z'").count() == 1
+    assert near_dedup.link_components(none).count() == 0 and near_dedup.dedup_near(none).count() == 0
+    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.drop_redundant(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, host string, verdict int")
+    assert url_filter.judge_urls(pages).count() == 0
+    folder = scratch_path(spark, "no-tokens")
+    byte = bpe.vocabulary("byte_bpe_50k.json")
+    assert token_files.read_tokens(spark, folder, token_files.write_tokens(none, folder, byte)).count() == 0
+
+
+def test_hot_words_are_dealt(spark, monkeypatch):
+    """Postings of frequent words go to several keys, with the same result."""
+    rng = random.Random(6)
+    vocab = [a + b for a in ("ka", "lo", "mi") for b in ("ra", "se", "no")]
+    rows = [(i, " ".join(rng.sample(vocab, 6)), "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = sorted(map(tuple, line_dedup.removed_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    assert sorted(map(tuple, line_dedup.removed_lines(docs).collect())) == plain
+    sets = [(i, frozenset(t.split())) for i, t, _ in rows]
+    assert plain == sorted((i, 0) for i, s in sets if any(j < i and 100 * len(s & u) >= 80 * len(s | u) for j, u in sets))
