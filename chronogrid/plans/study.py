@@ -40,14 +40,14 @@ SELECT s.pixel_id, s.t::INTEGER AS t, {cols(residual='x - mx - (tt * rx - rt * t
 )
 add("pixel_map", f"WITH {USR} SELECT pixel_id, {cols(mean='avg(x)', std='stddev_pop(x)')}, count(x) AS n_valid FROM s GROUP BY 1")(lambda s, d: tables.pixel_map(S.to_long(S.user_days(s, d))))
 _CLASS = "CASE WHEN coalesce(mk_p_value < 0.05, false) AND sen > 0 THEN 'significant_increase' WHEN coalesce(mk_p_value < 0.05, false) AND sen < 0 THEN 'significant_decrease' WHEN NOT coalesce(mk_p_value < 0.05, false) THEN 'no_significant_trend' END"
-add("trend_areas", f"WITH {FT83}, tc AS (SELECT {_CLASS} AS class, sen FROM ft) SELECT class, count(*) AS n_pixels, {cols(area_km2='count(*) * 0.09', fraction='count(*) / (SELECT count(*) FROM tc WHERE class IS NOT NULL)', median_sen='median(sen)')} FROM tc WHERE class IS NOT NULL GROUP BY 1")(
+add("trend_areas", f"WITH {FT83}, tc AS (SELECT {_CLASS} AS class, sen FROM ft) SELECT class, count(*) AS n_pixels, {cols(area_km2='count(*) * 0.09::DOUBLE', fraction='count(*) / (SELECT count(*) FROM tc WHERE class IS NOT NULL)', median_sen='median(sen)')} FROM tc WHERE class IS NOT NULL GROUP BY 1")(
     lambda s, d: tables.trend_areas(demo.supplier_features(s, d), 0.09)
 )
 _Q = ["mean", "sen", "restrend_r2", "cyc_enrichment", "break_gain", "recovery_fraction"]
 add("feature_quality", f"WITH {FT83}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v FROM ft" for c in _Q) + f") SELECT feature, count(v) AS n_finite, {cols(missing_fraction='1 - count(v) / count(*)', mean='avg(v)', std='stddev_samp(v)', min='min(v)', p25='quantile_cont(v, 0.25)', median='median(v)', p75='quantile_cont(v, 0.75)', max='max(v)')} FROM u GROUP BY 1")(
     lambda s, d: tables.feature_quality(demo.supplier_features(s, d), _Q)
 )
-add("recovery_areas", f"WITH {FT83}, names(status, name) AS (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in breaks.STATUS_NAMES.items())}) SELECT names.status::INTEGER AS status, name, count(ft.pixel_id) AS n_pixels, {cols(area_km2='count(ft.pixel_id) * 0.09')} FROM names LEFT JOIN ft ON recovery_status = names.status GROUP BY 1, 2")(
+add("recovery_areas", f"WITH {FT83}, names(status, name) AS (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in breaks.STATUS_NAMES.items())}) SELECT names.status::INTEGER AS status, name, count(ft.pixel_id) AS n_pixels, {cols(area_km2='count(ft.pixel_id) * 0.09::DOUBLE')} FROM names LEFT JOIN ft ON recovery_status = names.status GROUP BY 1, 2")(
     lambda s, d: tables.status_areas(demo.supplier_features(s, d), breaks.STATUS_NAMES, 0.09, "recovery_status")
 )
 add("method_comparison", f"WITH {demo.METHODS_SQL} SELECT truth, method, count(*) AS n_pixels, {cols(pct_flagged='100 * avg(flagged::INTEGER)')} FROM mf GROUP BY 1, 2")(lambda s, d: tables.method_comparison(demo.method_flags(s, d)))
