@@ -10,15 +10,20 @@ def asof_nearest(left: DataFrame, right: DataFrame, on_left: str, on_right: str,
     """The nearest row of ``right`` in days for each row of ``left``, within the
     tolerance; of equally near ones the earlier, then the smaller id.
 
-    left: id, date in ``on_left``; right: id, date in ``on_right``.  Dates are
-    put into buckets as long as the tolerance, so that the join is by equality
-    on the bucket and its neighbours, and never compares all pairs.
+    left: id, date in ``on_left``; right: id, date in ``on_right``.  Only the
+    distinct days of both sides are compared, each with its first row,
+    so that the work of a group is bounded by its days, not by its rows.  Days
+    are put into buckets as long as the tolerance, so that the join is by
+    equality on the bucket and its neighbours, and never compares all pairs.
     """
-    bucket = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / tolerance)
-    a = left.select(F.col("id").alias("left_id"), F.col(on_left).alias("a"), F.explode(F.sequence(bucket(on_left) - 1, bucket(on_left) + 1)).alias("bucket"), *([by] if by else []))
-    b = right.select(F.col("id").alias("right_id"), F.col(on_right).alias("b"), bucket(on_right).alias("bucket"), *([by] if by else []))
-    near = a.join(b, ["bucket", *([by] if by else [])]).withColumn("gap", F.abs(F.datediff("b", "a"))).where(F.col("gap") <= tolerance)
-    return near.groupBy("left_id").agg(F.min(F.struct("gap", "b", "right_id")).alias("m")).select("left_id", F.col("m.right_id").alias("right_id"), F.col("m.gap").alias("gap_days"))
+    keys = [by] if by else []
+    bucket = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / max(tolerance, 1))
+    a = left.select(F.col("id").alias("left_id"), F.to_date(on_left).alias("a"), *keys)
+    days = a.select("a", *keys).distinct().withColumn("bucket", F.explode(F.sequence(bucket("a") - 1, bucket("a") + 1)))
+    b = right.select(F.to_date(on_right).alias("b"), F.struct(F.col(on_right).alias("at"), F.col("id").alias("right_id")).alias("r"), *keys).groupBy("b", *keys).agg(F.min("r").alias("r")).withColumn("bucket", bucket("b"))
+    near = days.join(b, ["bucket", *keys]).withColumn("gap", F.abs(F.datediff("b", "a"))).where(F.col("gap") <= tolerance)
+    best = near.groupBy("a", *keys).agg(F.min(F.struct("gap", "b", "r.right_id")).alias("m"))
+    return a.join(best, ["a", *keys]).groupBy("left_id").agg(F.min("m").alias("m")).select("left_id", F.col("m.right_id").alias("right_id"), F.col("m.gap").alias("gap_days"))
 
 
 def top_scenes(scenes: DataFrame, per_year: int) -> DataFrame:
