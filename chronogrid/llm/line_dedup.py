@@ -39,7 +39,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, discard, id_filter, need_columns, plain_blanks
+from .shared import cut, discard, need_columns, plain_blanks, with_ids
 
 #: Similarity, in percent, from which a later line goes.
 PERCENT = 80
@@ -73,7 +73,8 @@ def _levels(docs: DataFrame) -> list[int]:
     words = F.split(F.lower(F.replace(plain_blanks("text"), F.lit("\n"), F.lit(" "))), " ")
     counts = docs.select(F.explode(words).alias("w")).select((F.xxhash64("w").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
-    for b, n in counts.collect():  # BUCKETS rows at most
+    got = counts.toArrow()  # BUCKETS rows at most
+    for b, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         levels[b] = min(127, int(math.log2(n + 1) * 2.5))
     return levels
 
@@ -173,7 +174,7 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
     set tells which is meant.
     """
     places = classes.groupBy(F.expr(_DOC_ID.format("at")).alias("id")).agg(F.collect_set(F.expr(_LINE_NO.format("at"))).alias("places"))
-    here = docs.where(id_filter(places.select(F.col("id").alias("doc_id")))).join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+    here = with_ids(docs, places.select(F.col("id").alias("doc_id"))).join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
     lines = here.select("doc_id", "places", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line"))
     chosen = lines.where(F.array_contains("places", F.col("line_no")))
     words = F.array_remove(F.array_distinct(_words("line")), "")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, discard, id_filter, need_columns, small_batches
+from .shared import cut, discard, need_columns, small_batches, with_ids
 from .shingles import scramble, sets_of
 
 PERCENT = 80
@@ -117,7 +117,7 @@ def _near(percent: int) -> str:
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs u, v whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = docs.where(id_filter(ids)).join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id bigint, set array<bigint>")
+    sets = with_ids(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id bigint, set array<bigint>")
     a, b = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
     both = pairs.select("u", "v").join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("a", "b")))
     return both.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("u", "v").distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,21 +95,18 @@ def plain_blanks(text: Column | str) -> Column:
     return out
 
 
-def id_filter(ids: DataFrame) -> Column:
-    """A predicate on doc_id that holds for all of ``ids`` (a bitmap of fixed
-    size; what else passes costs only speed)."""
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``ids``: all that are, and
+    few others, by a bitmap of fixed size; what else passes costs only speed.
+
+    The bitmap is a table that is broadcast.  As a constant it would stand in
+    every description of every plan that the driver makes and keeps.
+    """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = (
-        ids.select((F.shiftright(bit, 6)).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))").alias("m"))
-        .groupBy("i")
-        .agg(F.bit_or("m").alias("m"))
-        .collect()
-    )  # FILTER_BITS / 64 rows at most
-    table = [0] * (FILTER_BITS // 64)
-    for i, m in words:
-        table[i] = m
-    lit = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    return F.call_function("getbit", F.get(lit, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+    place, mask = F.shiftright(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))")
+    # FILTER_BITS / 64 rows at most
+    words = cut(ids.select(place.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__mask")), "id-filter")
+    return docs.join(F.broadcast(words), (place == F.col("__word")) & (F.col("__mask").bitwiseAND(mask) != 0), "left_semi")
 
 
 def need_columns(df: DataFrame, *names: str) -> None:
