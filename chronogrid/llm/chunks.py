@@ -30,11 +30,12 @@ def plain(chunk: str) -> bool:
 class Chunks:
     """``encode`` turns a list of chunks into a list of bytes; ``fixed`` are
     chunks with bytes of their own; with ``bare``, other chunks that do not end
-    in a letter or digit, as lower case, spoil a text; what ``other``
-    knows is not encoded again."""
+    in a letter or digit, as lower case, spoil a text; with ``ragged``, only if
+    one of ``fixed`` follows them; what ``other`` knows is not encoded again."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool, other: Chunks | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool, other: Chunks | None = None, ragged: bool = False):
         self.encode, self.fixed, self.bare = encode, fixed, bare
+        self.ragged: dict[str, bytes] | None = {} if ragged else None
         self.other: dict[str, bytes | bool] = other.known if other else {}
         self.known: dict[str, bytes | bool] = dict(fixed)
 
@@ -51,9 +52,9 @@ class Chunks:
                 new -= self.fixed.keys()
             good = [w for w in new if plain(w) and (not self.bare or w.lower()[-1].isalnum())]
             known.update(dict.fromkeys(new, False))
-            for w in good:
-                known[w] = self.other.get(w, False)
-            good = [w for w in good if not known[w]]
+            if self.other:
+                known.update((w, self.other.get(w, False)) for w in good)
+                good = [w for w in good if not known[w]]
             if good:
                 known.update(zip(good, self.encode(good)))
             for i in holes:
@@ -61,4 +62,20 @@ class Chunks:
         try:
             return b"".join(out)
         except TypeError:
+            return None if self.ragged is None else self._loose(words, out)
+
+    def _loose(self, words: list[str], out: list) -> bytes | None:
+        """The same where chunks that end in no letter or digit are no spoilers,
+        unless a fixed chunk follows, which would belong to their last token."""
+        spots = [i for i, v in enumerate(out) if v is False]
+        need = {words[i] for i in spots}
+        if not all(map(plain, need)) or any(words[i + 1] in self.fixed for i in spots if i + 1 < len(words)):
             return None
+        if len(self.ragged) + len(need) > LIMIT // 8:
+            self.ragged.clear()
+        new = [w for w in need if w not in self.ragged]
+        if new:
+            self.ragged.update(zip(new, self.encode(new)))
+        for i in spots:
+            out[i] = self.ragged[words[i]]
+        return b"".join(out)

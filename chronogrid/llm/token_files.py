@@ -63,7 +63,7 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.end = self._bytes([end_id])
         marks = {_COMMA: self._all([","])[0], _STOP: self._all(["."])[0]}
-        self.bare = Chunks(self._chunks, marks, True)
+        self.bare = Chunks(self._chunks, marks, True, ragged=True)
         self.whole = Chunks(self._chunks, {}, False, self.bare)
         self.line = np.frombuffer(self._all(["\n"])[0], f"<u{self.width}")
 
@@ -76,23 +76,33 @@ class Encoder:
     def _all(self, words: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _lines(self, words: list[str], lead: str) -> list[bytes]:
-        """The ids of each word after ``lead``, from one text with a word a line:
-        a line feed between other characters is one token by itself."""
-        ids = np.array(self.library.encode_batch_fast(["\n".join(lead + w for w in words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ()
-        if len(ends) != len(words) - 1:  # not so with this vocabulary
-            return self._all([lead + w for w in words])
-        raw = ids.tobytes()
-        starts = [0, *((ends + 1) * self.width).tolist()]
-        return [raw[i:j] for i, j in zip(starts, [*(ends * self.width).tolist(), len(raw)])]
+    def _lines(self, groups: list[tuple[str, list[str]]]) -> list[list[bytes]]:
+        """The ids of each word after its group's lead, from one text for each
+        group with a word a line: a line feed between other characters is one
+        token by itself."""
+        out = []
+        texts = [lead + f"\n{lead}".join(words) for lead, words in groups]
+        for (lead, words), e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, f"<u{self.width}")
+            ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ()
+            if len(ends) != len(words) - 1:  # not so with this vocabulary
+                out.append(self._all([lead + w for w in words]))
+                continue
+            raw = ids.tobytes()
+            starts = [0, *((ends + 1) * self.width).tolist()]
+            out.append([raw[i:j] for i, j in zip(starts, [*(ends * self.width).tolist(), len(raw)])])
+        return out
 
     def _chunks(self, words: list[str]) -> list[bytes]:
-        out = dict.fromkeys(words, b"")
-        for sign, lead, before in ((_LINE, "", self.line.tobytes()), (_FIRST, "", b""), ("", " ", b"")):
-            mine = [w for w in words if (w[0] == sign if sign else w[0] not in (_LINE, _FIRST))]
-            if mine:
-                out.update(zip(mine, (before + x for x in self._lines([w[1:] if sign else w for w in mine], lead))))
+        signed = [w for w in words if w[0] <= _FIRST]
+        if not signed:
+            return self._lines([(" ", words)])[0]
+        kinds = [(_LINE, self.line.tobytes()), (_FIRST, b"")]
+        parts = [(before, "", [w for w in signed if w[0] == sign], 1) for sign, before in kinds]
+        parts = [p for p in [*parts, (b"", " ", [w for w in words if w[0] > _FIRST], 0)] if p[2]]
+        out: dict[str, bytes] = {}
+        for (before, _, mine, _), got in zip(parts, self._lines([(lead, [w[skip:] for w in mine] if skip else mine) for _, lead, mine, skip in parts])):
+            out.update(zip(mine, [before + x for x in got] if before else got))
         return [out[w] for w in words]
 
     def _cached(self, text: str) -> bytes | None:
