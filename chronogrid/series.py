@@ -24,8 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    """Rounded to 6 places, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Rounded to 6 places, without a negative zero.
+
+    Halves are those of the millionfold double, as in DuckDB; Spark's own round
+    takes them from the shortest decimal that reads as the double.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(c) < 1e300, F.round(c * 1e6, 0) / F.lit(1e6)).otherwise(c) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
