@@ -19,8 +19,8 @@ on partitions or on the order of rows.
    all others.  So a family of n similar lines does not make n**2 rows, and no
    partner is left out.  Candidates are verified on their words.
 
-A word's frequency is that of its hash bucket, counted over all documents, in a
-fixed number of buckets; any fixed order of words gives exact results, so that a
+A word's frequency is that of its hash bucket, counted over the lines of all
+documents, in a fixed number of buckets; any fixed order of words gives exact results, so that a
 shared bucket costs only speed.  Classes are told apart by 128 bits of hashes
 and their size; similar lines are verified on the words themselves.
 
@@ -33,8 +33,10 @@ Everything is DataFrame expressions; no Python runs on executors.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,9 @@ BUCKETS = 1 << 17
 HOT, PER_TASK = 1 << 16, 1 << 18
 #: Lines of a group that every other line of it is compared with first.
 LEADERS = 8
+#: Words of a line up to which 64 parities tell unlike lines apart.
+FOLD = 40
+_FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 _NO_ID = (1 << 63) - 1
 #: A line's place as one number in the order of lines.
 _PLACE = "cast(doc_id as decimal(20,0)) * 4294967296BD + line_no"
@@ -65,49 +70,67 @@ def _words(line: str) -> Column:
     return F.split(F.lower(line), " ")
 
 
-def _levels(docs: DataFrame) -> list[int]:
-    """The frequency level (0 to 127) of each bucket of words.
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), h: the hashes of the distinct words of all lines
+    that have words."""
+    lines = docs.select("doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    hashes = F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return lines.select("doc_id", "line_no", hashes.alias("h"))
 
-    The empty word between two blanks is counted too; no line has it.
-    """
-    words = F.split(F.lower(F.replace(plain_blanks("text"), F.lit("\n"), F.lit(" "))), " ")
-    counts = docs.select(F.explode(words).alias("w")).select((F.xxhash64("w").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).groupBy("b").count()
+
+def _levels(hashed: DataFrame) -> list[int]:
+    """The frequency level (0 to 127) of each bucket of words, by the lines that
+    hold them."""
+    counts = hashed.select(F.explode("h").alias("h")).select(F.col("h").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
-    got = counts.toArrow()  # BUCKETS rows at most
+    with _all_in_fast_map(hashed.sparkSession):
+        got = counts.toArrow()  # BUCKETS rows at most
     for b, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         levels[b] = min(127, int(math.log2(n + 1) * 2.5))
     return levels
 
 
+@contextlib.contextmanager
+def _all_in_fast_map(spark: SparkSession) -> Iterator[None]:
+    """While a partial count runs, its fast map holds all BUCKETS (by default
+    half); the session's setting is as before afterwards."""
+    before = spark.conf.get(_FAST_MAP)
+    spark.conf.set(_FAST_MAP, str(BUCKETS.bit_length() - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(_FAST_MAP, before)
+
+
 def _array(values: list[int], kind: str) -> Column:
     """An array constant."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def _sets(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """doc_id, line_no (from 0), and of its word set: n, sig, bits and more, prefix; for
-    all lines that have words.
+def _sets(hashed: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """doc_id, line_no, and of its word set: n, sig, bits and more, prefix.
 
     A prefix holds the keys (level, then hash) of the rarest words, as many as
-    the filter asks for; none, if only an equal set is similar enough.
+    the filter asks for; none, if only an equal set is similar enough.  Parities
+    are of 128 places, bits and more; those of FOLD words at most are folded
+    into the 64 of bits.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    hashes = F.array_remove(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     low = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56)
-    keys = F.sort_array(F.transform(hashes, lambda h: low(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    keys = F.sort_array(F.transform("h", lambda h: low(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
     need = f"((({percent} * n) + 99) div 100)"
     # n words can match n + 1 words only if 100 n >= percent (n + 1)
     alone = f"(100 * n < {percent} * (n + 1))"
+    flip = "a ^ shiftleft(1L, cast(x & 63 as int))"
     return (
-        lines.select("doc_id", "line_no", keys.alias("k"))
+        hashed.select("doc_id", "line_no", keys.alias("k"))
         .select("doc_id", "line_no", "k", F.size("k").alias("n"))
         .select(
             "doc_id",
             "line_no",
             "n",
             F.xxhash64("k").alias("sig"),
-            F.expr("aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a ^ shiftleft(1L, cast(x & 63 as int)), a))").alias("bits"),
-            F.expr("aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a, a ^ shiftleft(1L, cast(x & 63 as int))))").alias("more"),
+            F.expr(f"if(n <= {FOLD}, aggregate(k, 0L, (a, x) -> {flip}), aggregate(k, 0L, (a, x) -> if(x & 64 = 0, {flip}, a)))").alias("bits"),
+            F.expr(f"if(n <= {FOLD}, 0L, aggregate(k, 0L, (a, x) -> if(x & 64 = 0, a, {flip})))").alias("more"),
             F.expr(f"if({alone}, slice(k, 1, 0), slice(k, 1, cast(n - {need} + 1 as int)))").alias("prefix"),
         )
     )
@@ -119,18 +142,18 @@ def _classes(sets: DataFrame) -> DataFrame:
 
 
 def _far(x: str, y: str) -> str:
-    return f"(bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more))"
+    """SQL: places of parities that differ; folded, if one of the two is."""
+    bits, more = f"{x}.bits ^ {y}.bits", f"{x}.more ^ {y}.more"
+    return f"if(least({x}.n, {y}.n) <= {FOLD}, bit_count({bits} ^ {more}), bit_count({bits}) + bit_count({more}))"
 
 
 def _near(x: str, y: str, percent: int) -> str:
     """SQL: may the sets x and y, met at one shared word, be similar?  They are
     if they share p / (100 + p) of the sum of their sizes, rounded up."""
     both, whole = f"({x}.n + {y}.n)", 100 + percent
-    overlap = f"((({percent} * {both}) + {whole - 1}) div {whole})"
-    return (
-        f"({whole} * {_far(x, y)} <= {100 - percent} * {both} and {percent} * {x}.n <= 100 * {y}.n and {percent} * {y}.n <= 100 * {x}.n"
-        f" and {whole} * least({x}.n - {x}.pos, {y}.n - if({y}.pos < 0, -1 - {y}.pos, {y}.pos)) >= {percent} * {both}"
-        f" and {_far(x, y)} <= {both} - 2 * {overlap})"
+    return (  # what differs is at least _far, so that half of the rest at most is shared
+        f"({percent} * {both} <= {whole} * shiftright({both} - {_far(x, y)}, 1) and {percent} * {x}.n <= 100 * {y}.n and {percent} * {y}.n <= 100 * {x}.n"
+        f" and {whole} * least({x}.n - {x}.pos, {y}.n - if({y}.pos < 0, -1 - {y}.pos, {y}.pos)) >= {percent} * {both})"
     )
 
 
@@ -221,12 +244,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _marks(docs: DataFrame, percent: int) -> DataFrame:
     """__id, __keep: the line numbers with words that stay of each doc_id."""
     docs = _keyed(docs)
-    sets = _sets(docs, _array(_levels(docs), "int"), percent)
+    hashed = cut(_hashed(docs), "lines-hashes")  # split and hashed once, read twice
+    sets = _sets(hashed, _array(_levels(hashed), "int"), percent)
     classes = cut(_classes(sets), "lines-classes")
-    gone = _redundant(docs, classes, percent).select(F.col("x").alias("at"))
     twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    mine = None
     if not twice.isEmpty():  # a place that goes, goes from all rows of its doc_id
-        mine = sets.join(twice, "doc_id", "left_semi").select("sig", F.expr(_PLACE).alias("at")).distinct()
+        mine = cut(sets.join(twice, "doc_id", "left_semi").select("sig", F.expr(_PLACE).alias("at")).distinct(), "lines-repeated")
+    discard(hashed)
+    gone = _redundant(docs, classes, percent).select(F.col("x").alias("at"))
+    if mine is not None:
         gone = gone.union(mine.join(classes, ["sig", "at"], "left_anti").select("at"))
     line_no = F.expr(_LINE_NO.format("at"))
     marks = classes.select("at", line_no.alias("m")).union(gone.select("at", -1 - line_no))
