@@ -37,6 +37,7 @@ import contextlib
 import json
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,10 +56,23 @@ LEADERS = 8
 FOLD = 40
 _FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 _NO_ID = (1 << 63) - 1
-#: A line's place as one number in the order of lines.
-_PLACE = "cast(doc_id as decimal(20,0)) * 4294967296BD + line_no"
-_LINE_NO = "cast(pmod({0}, 4294967296BD) as int)"
-_DOC_ID = "(({0} - pmod({0}, 4294967296BD)) div 4294967296BD)"
+#: Lines that one mark of a document stands for.
+_MARKED = 64
+
+
+class _Places(NamedTuple):
+    """SQL: a line's place as one number in the order of lines, and its parts."""
+
+    place: str
+    line_no: str
+    doc_id: str
+
+
+_WIDE = _Places(
+    "cast(doc_id as decimal(20,0)) * 4294967296BD + line_no", "cast(pmod(at, 4294967296BD) as int)", "((at - pmod(at, 4294967296BD)) div 4294967296BD)"
+)
+#: For ids of 32 bits.
+_NARROW = _Places("shiftleft(doc_id, 32) | cast(line_no as long)", "cast(at & 4294967295L as int)", "shiftright(at, 32)")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -116,7 +130,8 @@ def _sets(hashed: DataFrame, levels: Column, percent: int) -> DataFrame:
     into the 64 of bits.
     """
     low = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56)
-    keys = F.sort_array(F.transform("h", lambda h: low(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    # never null, so that they are sorted as plain numbers
+    keys = F.sort_array(F.transform("h", lambda h: F.coalesce(low(h).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))))
     need = f"((({percent} * n) + 99) div 100)"
     # n words can match n + 1 words only if 100 n >= percent (n + 1)
     alone = f"(100 * n < {percent} * (n + 1))"
@@ -136,9 +151,9 @@ def _sets(hashed: DataFrame, levels: Column, percent: int) -> DataFrame:
     )
 
 
-def _classes(sets: DataFrame) -> DataFrame:
+def _classes(sets: DataFrame, places: _Places) -> DataFrame:
     """sig, n, bits, more, prefix, at: one row for each word set, with its first line."""
-    return sets.groupBy("sig", "n", "bits", "more", "prefix").agg(F.min(F.expr(_PLACE)).alias("at"))
+    return sets.groupBy("sig", "n", "bits", "more", "prefix").agg(F.min(F.expr(places.place)).alias("at"))
 
 
 def _far(x: str, y: str) -> str:
@@ -157,51 +172,60 @@ def _near(x: str, y: str, percent: int) -> str:
     )
 
 
+def _hot() -> tuple[list[int], int]:
+    """Keys for the postings of a word by its level; the first level with two."""
+    parts = [max(1, math.ceil(2 ** (level / 2.5) / HOT)) for level in range(128)]
+    return parts, next(level for level, n in enumerate(parts) if n > 1)
+
+
 def _postings(classes: DataFrame) -> DataFrame:
-    """key, sig, n, bits, more, pos: one row for each prefix word of a class.
+    """token, at, n, bits, more, pos: one row for each prefix word of a class.
 
-    A word above HOT occurrences has its postings dealt to several keys by
-    class; under the other keys of the word each is there to be met only, with
-    the negative position -1 - pos.  Two words under one key cost only speed.
+    A word above HOT occurrences has its postings dealt by class to several
+    keys, which differ from the word's in their last 16 bits; under the other
+    keys of the word each is there to be met only, with the negative position
+    -1 - pos.  Two words under one key cost only speed.
     """
-    parts = [max(1, math.ceil(2 ** (level / 2.5) / HOT)) for level in range(128)]
-    hot = next(level for level, n in enumerate(parts) if n > 1)
-    facts = ("sig", "n", "bits", "more")
+    parts, hot = _hot()
+    kinds = {c: kind for c, kind in classes.dtypes if c in ("sig", "at", "n", "bits", "more")}
     # never null, which keeps filters for it from going below one of two equal shuffles
-    classes = classes.select("prefix", *[F.coalesce(c, F.lit(0).cast("int" if c == "n" else "long")).alias(c) for c in facts])
+    classes = classes.select("prefix", *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in kinds.items()])
     level = F.shiftrightunsigned("token", 56).cast("int")
-    plain = classes.select(*facts, F.posexplode("prefix").alias("pos", "token")).where(level < hot).select(F.coalesce("token", F.lit(0)).alias("key"), *facts, "pos")
+    facts = ("at", "n", "bits", "more")
+    plain = classes.select(*facts, F.posexplode("prefix").alias("pos", "token")).where(level < hot).select(F.coalesce("token", F.lit(0)).alias("token"), *facts, "pos")
     many = classes.where(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= hot)
-    many = many.select(*facts, F.posexplode("prefix").alias("pos", "token")).where(level >= hot).withColumn("parts", F.get(_array(parts, "bigint"), level))
+    many = many.select("sig", *facts, F.posexplode("prefix").alias("pos", "token")).where(level >= hot).withColumn("parts", F.get(_array(parts, "bigint"), level))
     many = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return plain.union(many.select(F.xxhash64("token", "salt").alias("key"), *facts, F.expr("if(pmod(sig, parts) = salt, pos, -1 - pos)")))
+    return plain.union(many.select(F.coalesce(F.expr("token & ~65535L | salt & 65535L"), F.lit(0)), *facts, F.expr("if(pmod(sig, parts) = salt, pos, -1 - pos)")))
 
 
 def _involved(classes: DataFrame, percent: int) -> DataFrame:
-    """The classes that another class may be similar to."""
+    """token, at, n, bits, more, pos: the postings that may be of similar classes,
+    by one that another class has of the same word."""
     spark = classes.sparkSession
     total = classes.agg(F.sum(F.expr(f"n - (({percent} * n) + 99) div 100 + 1"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
     # Both sides need all columns, and a condition with rand() does not slip
     # below the shuffle, so that Spark runs it once.
-    dealt = _postings(classes.where("size(prefix) > 0")).repartition(parts, "key")
+    dealt = _postings(classes.where("size(prefix) > 0")).repartition(parts, "token")
     own = dealt.where("if(pos >= 0, 0, 2) < 1 + rand()")
-    met = own.alias("x").join(dealt.alias("y").hint("merge"), F.expr(f"x.key = y.key and x.sig <> y.sig and {_near('x', 'y', percent)}"), "left_semi")
-    return classes.join(met.select("sig").distinct(), "sig", "left_semi")
+    met = own.alias("x").join(dealt.alias("y").hint("merge"), F.expr(f"x.token = y.token and {_near('x', 'y', percent)} and x.at <> y.at"), "left_semi")
+    whole = F.expr(f"if(shiftrightunsigned(token, 56) >= {_hot()[1]}, token & ~65535L, token)")  # a word has one key again
+    return met.select(whole.alias("token"), "at", "n", "bits", "more", "pos")
 
 
-def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _fetch(docs: DataFrame, near: DataFrame, places: _Places, repeated: bool) -> DataFrame:
     """at, w: the distinct words of each class's first line.
 
-    Rows that repeat a doc_id may have other lines at its place; the hash of the
-    set tells which is meant.
+    Rows that repeat a doc_id may have other lines at its place; all are given.
     """
-    places = classes.groupBy(F.expr(_DOC_ID.format("at")).alias("id")).agg(F.collect_set(F.expr(_LINE_NO.format("at"))).alias("places"))
-    here = with_ids(docs, places.select(F.col("id").alias("doc_id"))).join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+    near = near.groupBy(F.expr(places.doc_id).alias("id")).agg(F.collect_set(F.expr(places.line_no)).alias("places"))
+    here = with_ids(docs, near.select(F.col("id").alias("doc_id"))).join(near.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
     lines = here.select("doc_id", "places", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line"))
-    chosen = lines.where(F.array_contains("places", F.col("line_no")))
+    chosen = lines.where(F.array_contains("places", F.col("line_no"))).where("trim(line) <> ''")
     words = F.array_remove(F.array_distinct(_words("line")), "")
-    return chosen.select(F.expr(_PLACE).alias("at"), words.alias("w")).where("size(w) > 0").distinct()
+    out = chosen.select(F.expr(places.place).alias("at"), words.alias("w"))
+    return out.distinct() if repeated else out
 
 
 def _verify(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -211,11 +235,10 @@ def _verify(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * i >= {percent} * (size(a) + size(b) - i)").select("x").distinct()
 
 
-def _redundant(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _redundant(docs: DataFrame, classes: DataFrame, percent: int, places: _Places, repeated: bool) -> DataFrame:
     """x: the places of classes' first lines to which an earlier line is similar."""
-    near = cut(_involved(classes, percent), "lines-near")
-    words = cut(_fetch(docs, near), "lines-words")
-    group = near.select("at", "n", "bits", "more", F.posexplode("prefix").alias("pos", "token"))
+    group = cut(_involved(classes, percent), "lines-near")
+    words = cut(_fetch(docs, group.select("at").distinct(), places, repeated), "lines-words")
     order = Window.partitionBy("token").orderBy("at")
     first = group.withColumn("rank", F.row_number().over(order)).where(f"rank <= {LEADERS}").drop("rank")
     meet = lambda x, y: x.alias("x").join(y.alias("y"), F.expr(f"x.token = y.token and y.at < x.at and {_near('x', 'y', percent)}")).select(
@@ -228,37 +251,44 @@ def _redundant(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         more = cut(_verify(words, pairs(left), percent), "lines-similar")
         found = more if found is None else found.union(more)
     out = cut(found, "lines-redundant")
-    discard(near, words)
+    discard(group, words)
     return out
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no of every line that an earlier similar line makes redundant."""
     need_columns(docs, "doc_id", "text")
-    marks = _marks(docs, percent)
+    marks = _marks(docs, percent).select(F.col("__id").alias("doc_id"), F.explode("__keep").alias("part", "bits"))
     lines = _keyed(docs).select("doc_id", F.posexplode(F.split(plain_blanks("text"), "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    kept = marks.select(F.col("__id").alias("doc_id"), F.explode("__keep").alias("line_no"))
+    kept = marks.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(_MARKED - 1))).alias("i"), "part", "bits")
+    kept = kept.where("bits & shiftleft(1L, i) <> 0").select("doc_id", F.expr(f"part * {_MARKED} + i").alias("line_no"))
     return lines.select("doc_id", "line_no").distinct().join(kept, ["doc_id", "line_no"], "left_anti")
 
 
 def _marks(docs: DataFrame, percent: int) -> DataFrame:
-    """__id, __keep: the line numbers with words that stay of each doc_id."""
+    """__id, __keep: of each doc_id, by line number div 64, the lines with words
+    that stay, as bits."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"))
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    places = _NARROW if low is None or -(1 << 31) <= low and high < 1 << 31 else _WIDE
     docs = _keyed(docs)
     hashed = cut(_hashed(docs), "lines-hashes")  # split and hashed once, read twice
     sets = _sets(hashed, _array(_levels(hashed), "int"), percent)
-    classes = cut(_classes(sets), "lines-classes")
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    classes = cut(_classes(sets, places), "lines-classes")
+    twice = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
     mine = None
     if not twice.isEmpty():  # a place that goes, goes from all rows of its doc_id
-        mine = cut(sets.join(twice, "doc_id", "left_semi").select("sig", F.expr(_PLACE).alias("at")).distinct(), "lines-repeated")
+        mine = cut(sets.join(twice, "doc_id", "left_semi").select("sig", F.expr(places.place).alias("at")).distinct(), "lines-repeated")
     discard(hashed)
-    gone = _redundant(docs, classes, percent).select(F.col("x").alias("at"))
+    gone = _redundant(docs, classes, percent, places, mine is not None).select(F.col("x").alias("at"))
     if mine is not None:
         gone = gone.union(mine.join(classes, ["sig", "at"], "left_anti").select("at"))
-    line_no = F.expr(_LINE_NO.format("at"))
-    marks = classes.select("at", line_no.alias("m")).union(gone.select("at", -1 - line_no))
-    lists = marks.groupBy(F.expr(_DOC_ID.format("at")).alias("__id")).agg(F.collect_list("m").alias("m"))
-    return lists.select("__id", F.expr("array_except(filter(m, i -> i >= 0), transform(filter(m, i -> i < 0), i -> -1 - i))").alias("__keep"))
+    marks = classes.select("at", F.lit(True).alias("stays")).union(gone.select("at", F.lit(False)))
+    bit = f"shiftleft(1L, line_no % {_MARKED})"
+    marks = marks.select(F.expr(places.doc_id).cast("long").alias("__id"), F.expr(places.line_no).alias("line_no"), "stays").repartition("__id")
+    bits = F.expr(f"bit_or(if(stays, {bit}, 0L)) & ~bit_or(if(stays, 0L, {bit}))")
+    lists = marks.groupBy("__id", F.expr(f"line_no div {_MARKED}").cast("int").alias("part")).agg(bits.alias("bits")).where("bits <> 0")
+    return lists.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("__keep"))
 
 
 def _stripped(docs: DataFrame, percent: int) -> DataFrame:
@@ -268,12 +298,13 @@ def _stripped(docs: DataFrame, percent: int) -> DataFrame:
     rows = docs.select(F.struct("*").alias("r"))
     key = F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_NO_ID))
     joined = rows.join(marks.hint("shuffle_hash"), key == F.col("__id"), "left")
-    lines = joined.select("r", F.coalesce("__keep", F.expr("cast(array() as array<int>)")).alias("keep"), F.split(F.col("r.text"), "\n").alias("ls"))
+    lines = joined.select("r", "__keep", F.split(F.col("r.text"), "\n").alias("ls"))
     # maps are merged by hashed keys, so that long documents take linear time
-    kept = F.expr(
-        "array_compact(map_values(map_zip_with(map_from_arrays(sequence(0, size(ls) - 1), ls), map_from_arrays(keep, keep),"
-        " (i, l, k) -> if(k is not null or not rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]'), l, null))))"
-    )
+    parts = f"sequence(0, (size(ls) - 1) div {_MARKED})"
+    bits = f"map_values(map_zip_with(map_from_arrays({parts}, {parts}), __keep, (i, p, b) -> coalesce(b, 0L)))"
+    stays = f"get(b, cast(i div {_MARKED} as int)) & shiftleft(1L, i % {_MARKED}) <> 0 or not rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]')"
+    # bits as a lambda's argument, made once for a document and not for a line
+    kept = F.expr(f"get(transform(array(if(__keep is null or ls is null, array(0L), {bits})), b -> filter(ls, (l, i) -> {stays})), 0)")
     return lines.select("r", "ls", F.when(F.col("ls").isNotNull(), kept).alias("kept")).select(
         "r",
         F.array_join("kept", "\n").alias("text"),
