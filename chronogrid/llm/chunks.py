@@ -33,49 +33,68 @@ class Chunks:
     in a letter or digit, as lower case, spoil a text; with ``ragged``, only if
     one of ``fixed`` follows them; what ``other`` knows is not encoded again."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool, other: Chunks | None = None, ragged: bool = False):
-        self.encode, self.fixed, self.bare = encode, fixed, bare
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], bare: bool, other: Chunks | None = None, ragged: bool = False, limit: int = LIMIT):
+        self.encode, self.fixed, self.bare, self.limit = encode, fixed, bare, limit
         self.ragged: dict[str, bytes] | None = {} if ragged else None
         self.other: dict[str, bytes | bool] = other.known if other else {}
         self.known: dict[str, bytes | bool] = dict(fixed)
 
     def get(self, words: list[str]) -> bytes | None:
         """The bytes of all ``words``, joined; None if one of them spoils it."""
+        return self.get_all([words])[0]
+
+    def get_all(self, texts: list[list[str]]) -> list[bytes | None]:
+        """The same for each of ``texts``; what is new in any is encoded at once."""
         known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            holes = [i for i, v in enumerate(out) if v is None]
-            new = {words[i] for i in holes}
-            if len(known) + len(new) > LIMIT:
-                known.clear()
-                known.update(self.fixed)
-                new -= self.fixed.keys()
-            good = [w for w in new if plain(w) and (not self.bare or w.lower()[-1].isalnum())]
-            known.update(dict.fromkeys(new, False))
-            if self.other:
-                known.update((w, self.other.get(w, False)) for w in good)
-                good = [w for w in good if not known[w]]
-            if good:
-                known.update(zip(good, self.encode(good)))
-            for i in holes:
+        outs = [list(map(known.get, words)) for words in texts]
+        holes = [[i for i, v in enumerate(out) if v is None] if None in out else [] for out in outs]
+        new = {words[i] for words, spots in zip(texts, holes) for i in spots}
+        if new:
+            self._learn(new)
+        got: list[bytes | None] = []
+        loose = []
+        for k, (words, out, spots) in enumerate(zip(texts, outs, holes)):
+            for i in spots:
                 out[i] = known[words[i]]
-        try:
-            return b"".join(out)
-        except TypeError:
-            return None if self.ragged is None else self._loose(words, out)
+            try:
+                got.append(b"".join(out))
+            except TypeError:
+                got.append(None)
+                loose.append(k)
+        if loose and self.ragged is not None:
+            for k, x in zip(loose, self._loose([texts[k] for k in loose], [outs[k] for k in loose])):
+                got[k] = x
+        return got
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            known.update(self.fixed)
+        good = [w for w in new if (w.isalnum() and w.isascii()) or (plain(w) and (not self.bare or w.lower()[-1].isalnum()))]
+        if len(good) < len(new):
+            known.update(dict.fromkeys(new.difference(good), False))
+        if self.other:
+            known.update((w, self.other.get(w, False)) for w in good)
+            good = [w for w in good if not known[w]]
+        if good:
+            known.update(zip(good, self.encode(good)))
 
-    def _loose(self, words: list[str], out: list) -> bytes | None:
+    def _loose(self, texts: list[list[str]], outs: list[list]) -> list[bytes | None]:
         """The same where chunks that end in no letter or digit are no spoilers,
         unless a fixed chunk follows, which would belong to their last token."""
-        spots = [i for i, v in enumerate(out) if v is False]
-        need = {words[i] for i in spots}
-        if not all(map(plain, need)) or any(words[i + 1] in self.fixed for i in spots if i + 1 < len(words)):
-            return None
-        if len(self.ragged) + len(need) > LIMIT // 8:
-            self.ragged.clear()
-        new = [w for w in need if w not in self.ragged]
+        ragged, fixed = self.ragged, self.fixed
+        spots = [[i for i, v in enumerate(out) if v is False] for out in outs]
+        for k, words in enumerate(texts):
+            if not all(plain(words[i]) for i in spots[k]) or any(words[i + 1] in fixed for i in spots[k] if i + 1 < len(words)):
+                spots[k] = []
+        need = {words[i] for words, mine in zip(texts, spots) for i in mine}
+        if len(ragged) + len(need) > LIMIT // 8:
+            ragged.clear()
+        new = [w for w in need if w not in ragged]
         if new:
-            self.ragged.update(zip(new, self.encode(new)))
-        for i in spots:
-            out[i] = self.ragged[words[i]]
-        return b"".join(out)
+            ragged.update(zip(new, self.encode(new)))
+        for words, out, mine in zip(texts, outs, spots):
+            for i in mine:
+                out[i] = ragged[words[i]]
+        return [b"".join(out) if mine else None for out, mine in zip(outs, spots)]

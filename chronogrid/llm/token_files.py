@@ -18,12 +18,16 @@ renamed, so that a repeated task leaves one whole file.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import sys
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,37 @@ READ_BYTES, SHARD_BYTES = 8 << 20, 256 << 20
 #: In the cache only: a comma and a full stop at a chunk's end, a chunk after a
 #: line feed, and a text's first chunk.
 _COMMA, _STOP, _LINE, _FIRST = "\x01", "\x02", "\x03", "\x04"
+#: Chunks kept by a Python worker; a full cache is emptied, which costs only time.
+LIMIT = 1_200_000
+#: Characters of the texts that are encoded together, at most about.
+GROUP_CHARS = 1 << 18
+#: What the library's byte level writes for a space.
+_SPACE = "\u0120"
+_LETTERS = string.ascii_letters
+#: ASCII letters, then signs: two pieces of the library's.
+_SIGNED = re.compile(r"[A-Za-z]+[!-/:-@\[-^`{-~]+").fullmatch
+
+
+def _byte_level() -> dict[int, str]:
+    """For ``str.translate``: what the library's byte level writes for each
+    letter that `chunks.plain` lets through, a character for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0x80, 0x200)}
+
+
+def _words_only(spec: str):
+    """The library with the same merges for words that are split already and in
+    the byte level's letters; None, if the tokenizer is not one of plain bytes."""
+    from tokenizers import Tokenizer
+
+    parts = json.loads(spec)
+    split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")]
+    plain_split = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if model.get("type") != "BPE" or any(odd) or not plain_split or parts.get("normalizer") or any("<|" not in t["content"] for t in parts.get("added_tokens", [])):
+        return None
+    return Tokenizer.from_str(json.dumps(parts | {"pre_tokenizer": None, "post_processor": None, "truncation": None, "padding": None, "added_tokens": []}))
 
 
 class Encoder:
@@ -63,9 +98,14 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.end = self._bytes([end_id])
         marks = {_COMMA: self._all([","])[0], _STOP: self._all(["."])[0]}
-        self.bare = Chunks(self._chunks, marks, True, ragged=True)
+        self.bare = Chunks(self._chunks, marks, True, ragged=True, limit=LIMIT)
         self.whole = Chunks(self._chunks, {}, False, self.bare)
         self.line = np.frombuffer(self._all(["\n"])[0], f"<u{self.width}")
+        self.words = _words_only(spec)
+        self.byte_level = _byte_level()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
 
     def _bytes(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -93,7 +133,35 @@ class Encoder:
             out.append([raw[i:j] for i, j in zip(starts, [*(ends * self.width).tolist(), len(raw)])])
         return out
 
+    def _letters(self, words: list[str]) -> list[bytes] | None:
+        """The ids of a space and each word, letters with or without signs after
+        them: the library splits between these only, and no token but a word's
+        first begins with a space."""
+        shown = []
+        for w in words:
+            if not w.isalpha():
+                tail = w.lstrip(_LETTERS)
+                shown += (_SPACE + w[: -len(tail)], tail)
+            else:
+                shown.append(_SPACE + (w if w.isascii() else w.translate(self.byte_level)))
+        ids = np.array(self.words.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, f"<u{self.width}")
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(words):  # not so with this vocabulary
+            return None
+        raw, at = ids.tobytes(), (starts * self.width).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+
     def _chunks(self, words: list[str]) -> list[bytes]:
+        mine = [w.isalpha() or _SIGNED(w) is not None for w in words] if self.words else []
+        got = self._letters(list(compress(words, mine))) if any(mine) else None
+        if got is None:
+            return self._others(words)
+        if len(got) == len(words):
+            return got
+        letters, others = iter(got), iter(self._others([w for w, x in zip(words, mine) if not x]))
+        return [next(letters) if x else next(others) for x in mine]
+
+    def _others(self, words: list[str]) -> list[bytes]:
         signed = [w for w in words if w[0] <= _FIRST]
         if not signed:
             return self._lines([(" ", words)])[0]
@@ -105,29 +173,48 @@ class Encoder:
             out.update(zip(mine, [before + x for x in got] if before else got))
         return [out[w] for w in words]
 
-    def _cached(self, text: str) -> bytes | None:
+    def _cached(self, texts: list[str]) -> list[bytes | None]:
         """By chunks, where a space before a character that is not white space
         and a line feed between such characters are always token boundaries."""
-        if any(c in text for c in (_COMMA, _STOP, _LINE, _FIRST)):
-            return None
-        text = _FIRST + text.replace("\n", " " + _LINE)
-        if not any(two in text for two in RUNS):
-            split = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
-            if split.endswith(".") and split[-2].isalnum():
-                split = f"{split[:-1]} {_STOP}"
-            got = self.bare.get(split.split(" "))
-            if got is not None:
-                return got
-        return self.whole.get(text.split(" "))
+        out: list[bytes | None] = [None] * len(texts)
+        whole: dict[int, str] = {}
+        bare: dict[int, list[str]] = {}
+        for k, text in enumerate(texts):
+            if any(c in text for c in (_COMMA, _STOP, _LINE, _FIRST)):
+                continue
+            whole[k] = text = _FIRST + text.replace("\n", " " + _LINE)
+            if not any(two in text for two in RUNS):
+                split = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
+                if split.endswith(".") and split[-2].isalnum():
+                    split = f"{split[:-1]} {_STOP}"
+                bare[k] = split.split(" ")
+        for k, got in zip(bare, self.bare.get_all(list(bare.values()))):
+            out[k] = got
+        rest = {k: text.split(" ") for k, text in whole.items() if out[k] is None}
+        for k, got in zip(rest, self.whole.get_all(list(rest.values()))):
+            out[k] = got
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text, then the end id, as little-endian integers."""
+        out = []
+        group: list[str] = []
+        size = 0
+        for k, text in enumerate(texts):
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS or k + 1 == len(texts):
+                for whole, got in zip(group, self._cached(group)):
+                    if not whole:
+                        got = b""
+                    elif got is None:
+                        got = self._all([whole])[0]
+                    out.append(got + self.end)
+                group, size = [], 0
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, then the end id, as little-endian integers."""
-        got = b""
-        if text:
-            got = self._cached(text)
-            if got is None:
-                got = self._all([text])[0]
-        return got + self.end
+        return self.encode_all([text])[0]
 
 
 _made: dict = {}
@@ -179,7 +266,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> Da
     def ids_only(batches):
         e = _encoder(spec, end_id)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([e.encode(x.as_py()) for x in b.column(0)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(e.encode_all(b.column(0).to_pylist()), pa.binary())], names=["ids"])
 
     total = docs.count()
     part = min(1.0, SAMPLE_DOCS / max(total, 1))
@@ -196,7 +283,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> Da
         e = _encoder(spec, end_id)
         packer = zstandard.ZstdCompressor(level=3, dict_data=_load(shared.value))
         for b in batches:
-            raw = [e.encode(x.as_py()) for x in b.column(1)]
+            raw = e.encode_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(r) // e.width for r in raw], pa.int64()), pa.array([_frame(r, packer) for r in raw], pa.binary())], names=["doc_id", "n", "frame"]
             )
