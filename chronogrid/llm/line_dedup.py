@@ -15,9 +15,10 @@ on partitions or on the order of rows.
    whose Hamming distance never exceeds the symmetric difference.  A semi-join
    finds the classes that have any candidate; only these go on.
 4. A class needs one earlier partner, not all: the nearest by bitmap among the
-   first of a group is verified first, then the nearest of the whole group, then
-   all others.  So a family of n similar lines does not make n**2 rows, and no
-   partner is left out.  Candidates are verified on their words.
+   first of a group is verified first, then the TRIED nearest of the whole group;
+   classes with still more partners are verified with all of them.  So a family of
+   n similar lines does not make n**2 rows, and no partner is left out.
+   Candidates are verified on their words.
 
 A word's frequency is that of its hash bucket, counted over the lines of all
 documents, in a fixed number of buckets; any fixed order of words gives exact results, so that a
@@ -52,9 +53,13 @@ BUCKETS = 1 << 17
 HOT, PER_TASK = 1 << 16, 1 << 18
 #: Lines of a group that every other line of it is compared with first.
 LEADERS = 8
+#: Partners of a line, the nearest first, that are verified before it is asked whether it has more.
+TRIED = 64
 #: Words of a line up to which 64 parities tell unlike lines apart.
-FOLD = 40
+FOLD = 80
 _FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+#: Arrays without nulls are written as plain repeated numbers, without a group for each.
+_PLAIN_LISTS = "spark.sql.parquet.writeLegacyFormat"
 _NO_ID = (1 << 63) - 1
 #: Lines that one mark of a document stands for.
 _MARKED = 64
@@ -97,7 +102,7 @@ def _levels(hashed: DataFrame) -> list[int]:
     hold them."""
     counts = hashed.select(F.explode("h").alias("h")).select(F.col("h").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
-    with _all_in_fast_map(hashed.sparkSession):
+    with _setting(hashed.sparkSession, _FAST_MAP, str(BUCKETS.bit_length() - 1)):  # all BUCKETS (by default half)
         got = counts.toArrow()  # BUCKETS rows at most
     for b, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         levels[b] = min(127, int(math.log2(n + 1) * 2.5))
@@ -105,15 +110,14 @@ def _levels(hashed: DataFrame) -> list[int]:
 
 
 @contextlib.contextmanager
-def _all_in_fast_map(spark: SparkSession) -> Iterator[None]:
-    """While a partial count runs, its fast map holds all BUCKETS (by default
-    half); the session's setting is as before afterwards."""
-    before = spark.conf.get(_FAST_MAP)
-    spark.conf.set(_FAST_MAP, str(BUCKETS.bit_length() - 1))
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for a while; the session's is as before afterwards."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_FAST_MAP, before)
+        spark.conf.set(key, before)
 
 
 def _array(values: list[int], kind: str) -> Column:
@@ -244,14 +248,21 @@ def _redundant(docs: DataFrame, classes: DataFrame, percent: int, places: _Place
     meet = lambda x, y: x.alias("x").join(y.alias("y"), F.expr(f"x.token = y.token and y.at < x.at and {_near('x', 'y', percent)}")).select(
         F.col("x.at").alias("x"), F.col("y.at").alias("y"), F.expr(_far("x", "y")).alias("far")
     )
-    nearest = lambda pairs: pairs.groupBy("x").agg(F.min_by("y", "far").alias("y"))
-    found: DataFrame | None = None
-    for pairs in (lambda x: nearest(meet(x, first)), lambda x: nearest(meet(x, group)), lambda x: meet(x, group).select("x", "y").distinct()):
-        left = group if found is None else group.join(found, F.col("at") == F.col("x"), "left_anti")
-        more = cut(_verify(words, pairs(left), percent), "lines-similar")
-        found = more if found is None else found.union(more)
+    similar = lambda pairs: cut(_verify(words, pairs, percent), "lines-similar")
+    without = lambda x, found: x.join(found, F.col("at") == F.col("x"), "left_anti")
+    found = similar(meet(group, first).groupBy("x").agg(F.min_by("y", "far").alias("y")))
+    # a partner met at several words has one rank
+    rank = F.dense_rank().over(Window.partitionBy("x").orderBy("far", "y"))
+    tried = meet(without(group, found), group).withColumn("rank", rank).where(f"rank <= {TRIED + 1}")
+    tried = cut(tried.select("x", "y", "rank").distinct(), "lines-tried")
+    more = similar(tried.where(f"rank <= {TRIED}"))
+    found = found.union(more)
+    many = tried.where(f"rank > {TRIED}").select("x").join(more, "x", "left_anti")
+    if not many.isEmpty():
+        rest = group.join(many, F.col("at") == F.col("x"), "left_semi")
+        found = found.union(similar(meet(rest, group).select("x", "y").distinct()))
     out = cut(found, "lines-redundant")
-    discard(group, words)
+    discard(group, words, tried)
     return out
 
 
@@ -272,7 +283,8 @@ def _marks(docs: DataFrame, percent: int) -> DataFrame:
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     places = _NARROW if low is None or -(1 << 31) <= low and high < 1 << 31 else _WIDE
     docs = _keyed(docs)
-    hashed = cut(_hashed(docs), "lines-hashes")  # split and hashed once, read twice
+    with _setting(docs.sparkSession, _PLAIN_LISTS, "true"):
+        hashed = cut(_hashed(docs), "lines-hashes")  # split and hashed once, read twice
     sets = _sets(hashed, _array(_levels(hashed), "int"), percent)
     classes = cut(_classes(sets, places), "lines-classes")
     twice = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
